@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.llm.line_dedup import line_dedup
+from cellmosaic.llm.mixing import mix_sources
+from cellmosaic.llm.warc import read_warc, write_index, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,33 @@ FROM k LEFT JOIN gone ON k.key = gone.key GROUP BY k.doc_id
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents")).taken()
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = write_warc(_table(spark, sf_dir, "pages"), min_bytes=1000)
+    return read_warc(write_index(captures)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, cast(strlen(coalesce(html, '')) AS bigint) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT html, max(page_id) AS most FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < most THEN most END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_mixing": op4_mixing,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1}
+    return {"op1_line_dedup": _OP1, "op10_warc": _OP10}
