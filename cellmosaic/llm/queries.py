@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.llm.line_dedup import line_dedup
 from cellmosaic.llm.mixing import mix_sources
+from cellmosaic.llm.token_counts import token_counts
+from cellmosaic.llm.token_output import read_tokens, write_tokens
 from cellmosaic.llm.warc import read_warc, write_index, write_warc
 
 
@@ -40,6 +43,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(files).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = write_warc(_table(spark, sf_dir, "pages"), min_bytes=1000)
     return read_warc(write_index(captures)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op4_mixing": op4_mixing,
+        "op7_token_output": op7_token_output,
+        "op9_token_counts": op9_token_counts,
         "op10_warc": op10_warc,
     }
 
