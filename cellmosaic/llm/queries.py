@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.line_dedup import line_dedup
 from cellmosaic.llm.mixing import mix_sources
+from cellmosaic.llm.near_dedup import near_duplicates
 from cellmosaic.llm.token_counts import token_counts
 from cellmosaic.llm.token_output import read_tokens, write_tokens
 from cellmosaic.llm.warc import read_warc, write_index, write_warc
@@ -38,6 +39,26 @@ FROM k LEFT JOIN gone ON k.key = gone.key GROUP BY k.doc_id
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(x) < 4 THEN array_to_string(x, ' ') ELSE array_to_string(x[i:i + 3], ' ') END AS s
+  FROM (SELECT doc_id, x, unnest(generate_series(1, greatest(len(x) - 3, 1))) AS i FROM w WHERE len(x) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents")).taken()
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -70,6 +91,7 @@ FROM p LEFT JOIN m ON p.html = m.html
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_minhash": op2_minhash,
         "op4_mixing": op4_mixing,
         "op7_token_output": op7_token_output,
         "op9_token_counts": op9_token_counts,
@@ -78,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op10_warc": _OP10}
+    return {"op1_line_dedup": _OP1, "op2_minhash": _OP2, "op10_warc": _OP10}
