@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellmosaic.llm.line_dedup import line_dedup
 from cellmosaic.llm.mixing import mix_sources
 from cellmosaic.llm.near_dedup import near_duplicates
+from cellmosaic.llm.substring_dedup import substring_dedup
 from cellmosaic.llm.token_counts import token_counts
 from cellmosaic.llm.token_output import read_tokens, write_tokens
 from cellmosaic.llm.warc import read_warc, write_index, write_warc
@@ -64,6 +65,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_OP6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(x[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) - 49)) AS i FROM w WHERE len(x) >= 50)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+s AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM g JOIN m ON g.h = m.h WHERE least < doc_id),
+k AS (SELECT doc_id, i, word FROM (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS word FROM w) ANTI JOIN s USING (doc_id, i)),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(x) AS n_words, len(x) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN t ON w.doc_id = t.doc_id
+"""
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_tokens(files).withColumnRenamed("id", "doc_id")
@@ -93,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_minhash": op2_minhash,
         "op4_mixing": op4_mixing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_token_output": op7_token_output,
         "op9_token_counts": op9_token_counts,
         "op10_warc": op10_warc,
@@ -100,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op2_minhash": _OP2, "op10_warc": _OP10}
+    return {"op1_line_dedup": _OP1, "op2_minhash": _OP2, "op6_substring_dedup": _OP6, "op10_warc": _OP10}
