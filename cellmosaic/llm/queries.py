@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmosaic.llm.decontaminate import contamination
 from cellmosaic.llm.line_dedup import line_dedup
 from cellmosaic.llm.mixing import mix_sources
 from cellmosaic.llm.near_dedup import near_duplicates
@@ -65,6 +66,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=80)
+    items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
+    return out.select(F.col("id").alias("doc_id"), (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -112,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_minhash": op2_minhash,
         "op4_mixing": op4_mixing,
+        "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_token_output": op7_token_output,
         "op9_token_counts": op9_token_counts,

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Also ASCII punctuation and control characters: words are then runs of letters, digits and all that isn't ASCII.
+_MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
@@ -49,9 +51,9 @@ class Block:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, first: int):
         self.buf, self.offsets, self.first, self.n = buf, offsets, first, len(offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where words start and end, and for each row (and past the last) the number of its first word."""
-        space = _SPACE[self.buf]
+    def words(self, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words start and end, and for each row (and past the last) the number of its first word. ``bare``: punctuation separates words too."""
+        space = (_MARKS if bare else _SPACE)[self.buf]
         n = len(space)
         before = np.empty(n, bool)
         before[1:] = space[:-1]
