@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmosaic.llm.ann import nearest
 from cellmosaic.llm.decontaminate import contamination
 from cellmosaic.llm.line_dedup import line_dedup
 from cellmosaic.llm.mixing import mix_sources
@@ -61,6 +62,10 @@ FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GRO
 """
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents")).taken()
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_minhash": op2_minhash,
+        "op3_neighbours": op3_neighbours,
         "op4_mixing": op4_mixing,
         "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
