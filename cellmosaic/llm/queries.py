@@ -16,6 +16,7 @@ from cellmosaic.llm.near_dedup import near_duplicates
 from cellmosaic.llm.substring_dedup import substring_dedup
 from cellmosaic.llm.token_counts import token_counts
 from cellmosaic.llm.token_output import read_tokens, write_tokens
+from cellmosaic.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from cellmosaic.llm.warc import read_warc, write_index, write_warc
 
 
@@ -100,6 +101,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files).withColumnRenamed("id", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -128,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_token_output": op7_token_output,
+        "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_warc": op10_warc,
     }
