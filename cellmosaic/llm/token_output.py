@@ -270,4 +270,5 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     a = b
 
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.repartition("file").mapInArrow(read, schema)
+    n = max(1, files.count())  # a task a file: the rows are few and small, the files are not
+    return files.repartition(n, "file").mapInArrow(read, schema)

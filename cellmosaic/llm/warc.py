@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.shared import new_path, written
 
-ROLL_BYTES, BLOCK_LINES = 64 << 20, 3000
+ROLL_BYTES, BLOCK_LINES, TASK_BYTES = 64 << 20, 3000, 8 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = "key string, page_id long, record_type string, digest string, file string, offset long, length long"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -184,7 +184,8 @@ class CaptureIndex:
                     rows = _block_lines(block)
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in _CAPTURE.split(", "))]))
 
-        return self.directory.repartition(F.col("file"), F.col("offset")).mapInArrow(read, _CAPTURE)
+        n = -(-max(1, self.directory.count()) // 4)  # some blocks a task, however few bytes their rows have
+        return self.directory.repartition(n, "file", "offset").mapInArrow(read, _CAPTURE)
 
     def lookup(self, url: str) -> list[dict]:
         """The captures of one URL: binary search over index files, then over that file's blocks, then one range read a block."""
@@ -247,4 +248,5 @@ def read_warc(index: CaptureIndex) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     captures = index.captures().select("file", "offset", "length")
-    return captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, _RECORD)
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    return captures.repartitionByRange(max(1, -(-total // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, _RECORD)
