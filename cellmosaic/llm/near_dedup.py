@@ -8,9 +8,9 @@ at similarity 0.8, all 24 bands miss with probability 3e-6.
 
 Documents with equal sets become one node first. In each bucket of a band, every node is paired with the bucket's first document
 only. Pairs whose sketches come near the threshold (five standard deviations below it or better) are verified on the full sets, first one pair a node, then
-those that would join different components. What is left are buckets whose nodes still lie in different components: there sketches are
-compared across components, in blocks of bounded size, and the most similar ones verified; more of them each time, until none is left
-out. So no link between different texts is lost to the pairing, and groups of copies cost a number of pairs linear in their size.
+those that would join different components. What is left are buckets whose nodes still lie in different components: in blocks of bounded
+size, nodes whose sketches come near across components are found, and their full sets are compared there by an inverted list; only links that join components leave a block.
+So no link between different texts is lost to the pairing, and no task writes out pairs by the square of a group.
 
 Defined results: a text without words, empty or null, has 0 shingles, is linked with nothing and kept. Rows are told apart by
 their place, so repeated rows are copies of each other; a row with a null id gets the smallest id of its component, null if there is
@@ -116,32 +116,67 @@ def _near(least: int):
     return run
 
 
-def _across(least: int, most: int):
-    """Of one block of a bucket: for each node and each other component, the nodes that its sketch comes nearest, ``most`` of them."""
+def _plausible(least: int, percent: int):
+    """Of one block of a bucket: the nodes that have a partner in another component whose size and sketch allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, odd, part = (table.column(c).to_numpy() for c in ("node", "comp", "odd", "part"))
+        comp, odd, part, size = (table.column(c).to_numpy() for c in ("comp", "odd", "part", "n"))
         tags = _tags(table.column("tags"))
-        out = []
+        keep = np.zeros(len(comp), bool)
         wide, thin = np.flatnonzero(part != 2), np.flatnonzero((part != 1) & odd)
         for x in thin:
-            agree = (tags[wide] == tags[x]).sum(axis=1)
-            for y, n in zip(wide[at := (agree >= least) & (comp[wide] != comp[x])], agree[at], strict=True):
-                out.append((int(comp[y]), int(comp[x]), -int(n), int(node[x]), int(node[y])))
-        out.sort()
-        kept, last, seen = [], None, 0
-        for cy, cx, _, x, y in out:
-            seen = seen + 1 if (cx, cy) == last else 1
-            last = (cx, cy)
-            kept.append((x, y, seen > most))
-        kept = [r for r in kept if not r[2]] + [r for r in kept if r[2]][:1]
-        return pa.table([pa.array([r[k] for r in kept], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "more"])
+            fits = wide[(comp[wide] != comp[x]) & (np.minimum(size[wide], size[x]) * 100 >= np.maximum(size[wide], size[x]) * percent)]
+            fits = fits[(tags[fits] == tags[x]).sum(axis=1) >= least]
+            keep[fits] = True
+            keep[x] |= len(fits) > 0
+        return table.drop_columns(["tags", "n"]).filter(pa.array(keep))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` of every row; linked are sets with 100 * intersection >= percent * union."""
+def _exact(percent: int):
+    """Of one block of a bucket: links on the full sets, one for each two components that they join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, odd, part = (table.column(c).to_numpy() for c in ("node", "comp", "odd", "part"))
+        grams = table.column("grams").combine_chunks()
+        at = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        size = np.diff(at)
+        ids = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]
+        wide, thin = part != 2, np.flatnonzero((part != 1) & odd)
+        owner = np.repeat(np.arange(len(node)), size)
+        order = np.argsort(ids, kind="stable")
+        order = order[wide[owner[order]]]
+        post = owner[order]
+        begin = np.append(0, np.cumsum(np.bincount(ids[order], minlength=int(ids.max(initial=0)) + 1)))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        out = []
+        for x in thin:
+            own = ids[at[x] : at[x + 1]]
+            n = begin[own + 1] - begin[own]
+            spots = np.repeat(begin[own] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            both = np.bincount(post[spots], minlength=len(node))
+            for y in np.flatnonzero((both * 100 >= (size + size[x] - both) * percent) & wide & (comp != comp[x])):
+                a, b = root(int(comp[x])), root(int(comp[y]))
+                if a != b:
+                    parent[a] = b
+                    out.append((int(node[x]), int(node[y])))
+        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_mark: bool = False) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept`` of every row; linked are sets with 100 * intersection >= percent * union.
+
+    ``with_mark``: also ``mark``, ``xxhash64`` of id and text, to find the row by.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("id", "text"))
     all_rows = written(own.mapInArrow(_sketches(k), "id long, mark long, n long, node long, tags binary, bands array<long>"), "sketches")
@@ -191,45 +226,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         la, lb = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    tried = one
     rest = written(apart(candidates.select("a", "b").join(one, ["a", "b"], "left_anti")), "second-pairs")
     if not rest.isEmpty():
         more = written(verified(rest), "links")
-        tried = tried.unionByName(rest)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
 
-    # buckets of three or more whose nodes still lie in different components
-    most = 1
-    while True:
-        named = buckets.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-        cut = mixed.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("size") / GROUP).alias("g"), F.ceil((F.col("size") - F.col("top.c")) / GROUP).alias("h"))
-        rows = named.join(cut, "key").join(reps.select("node", "tags"), "node").withColumn("odd", F.col("comp") != F.col("top"))
-        i, j = F.pmod(F.xxhash64("node"), "g"), F.pmod(F.xxhash64(F.lit(1), "node"), "h")
-        whole = F.col("g") == 1  # part 0: compared both ways; 1: as one of the block; 2: as one that the block is compared with
-        base = ["key", "node", "comp", "odd", "tags"]
-        small = rows.filter(whole).select(*base, F.lit(0).alias("part"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-        wide = rows.filter(~whole).select(*base, F.lit(1).alias("part"), i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("j"))
-        thin = rows.filter(~whole & F.col("odd")).select(*base, F.lit(2).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"), j.alias("j"))
-        found = written(small.unionByName(wide).unionByName(thin).groupBy("key", "i", "j").applyInArrow(_across(least, most), "a long, b long, more boolean"), "across")
-        seen = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = written(found.filter("not more").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "more-pairs")
-        left_out = not found.filter("more").isEmpty()
-        if not rest.isEmpty():
-            more = written(verified(rest), "links")
-            tried = tried.unionByName(rest)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-        if not left_out:
-            break
-        most *= 8
+    # buckets of three or more whose nodes still lie in different components: ``top`` is a bucket's largest component, ``odd`` all else
+    named = buckets.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    cut = mixed.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("size") / GROUP).alias("g"), F.ceil((F.col("size") - F.col("top.c")) / GROUP).alias("h"))
+    rows = named.join(cut, "key").join(reps.select("node", "tags", "n"), "node").withColumn("odd", F.col("comp") != F.col("top"))
+    i, j = F.pmod(F.xxhash64("node"), "g"), F.pmod(F.xxhash64(F.lit(1), "node"), "h")
+    whole = F.col("g") == 1  # part 0: compared both ways; 1: as one of the block; 2: as one that the block is compared with
+    base, none = ["key", "node", "comp", "odd", "tags", "n"], F.lit(0).cast("long")
+    small = rows.filter(whole).select(*base, F.lit(0).alias("part"), none.alias("i"), none.alias("j"))
+    wide = rows.filter(~whole).select(*base, F.lit(1).alias("part"), i.alias("i"), F.explode(F.sequence(none, F.col("h") - 1)).alias("j"))
+    thin = rows.filter(~whole & F.col("odd")).select(*base, F.lit(2).alias("part"), F.explode(F.sequence(none, F.col("g") - 1)).alias("i"), j.alias("j"))
+    found = small.unionByName(wide).unionByName(thin).groupBy("key", "i", "j").applyInArrow(_plausible(least, percent), "key long, node long, comp long, odd boolean, part int, i long, j long")
+    left = written(found, "plausible")
+    if not left.isEmpty():
+        more = written(left.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_exact(percent), "a long, b long"), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     named = reps.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_node = named.join(least_id, "comp").select("node", F.when(F.col("component_id") != far, F.col("component_id")).alias("component_id"))
-    full, bare = all_rows.filter("n > 0").select("id", "n", "node").join(of_node, "node").select("id", "n", "component_id"), all_rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = all_rows.filter("n > 0").select("id", "mark", "n", "node").join(of_node, "node").select("id", "mark", "n", "component_id")
+    out = full.unionByName(all_rows.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))
+    own = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
+    return out.select(*own, *["mark"] * with_mark)

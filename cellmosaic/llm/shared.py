@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +42,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes all that this process has written so far. Only call it once every result is stored."""
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gives the list of the paths that are made inside."""
+    global _made
+    outer, _made = _made, []
+    try:
+        yield _made
+    finally:
+        outer += _made
+        _made = outer
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables and files. Only call it once every result that reads them is stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this process has written so far."""
+    remove(spark, _made)
+    _made.clear()
