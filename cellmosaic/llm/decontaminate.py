@@ -6,7 +6,7 @@ distance. From ``WALKS`` walks, ``TABLES`` hashes of ``SAMPLED`` random coordina
 document; where a hash agrees, the edit distance is computed in full (the item against the best stretch of words there), and it alone decides.
 
 Before that a lossless screen leaves out windows: an item of L words within d edits shares at least L - 2 - 3d of its word
-triples with what it matches, so stretches with fewer of them hold no match.
+triples with what it matches, so stretches with fewer of them hold no match. Items of about one length are screened and sought together.
 
 Items are taken in blocks of ``ITEMS`` (at most a few tens of MB for each task); more items mean more passes over the documents.
 
@@ -55,8 +55,12 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def _walks(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: int, walk: int) -> np.ndarray:
     """The symbols that one walk reads from each start on; past a stop it reads nothing."""
     out = np.zeros((steps, len(starts)), np.uint64)
-    at, bits = starts.copy(), None
-    padded = np.append(words, np.uint64(0))
+    if not len(starts):
+        return out
+    reach = min(len(words), int(starts.max()) + steps + 1)
+    base = int(starts.min())  # starts come in order: only these words can be read
+    padded = np.append(words[base:reach], np.uint64(0))
+    at, stops, bits = starts - base, np.minimum(stops, reach) - base, None
     for j in range(steps):
         if j % 64 == 0:
             bits = mix(padded + np.uint64((1000 * walk + j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -81,9 +85,8 @@ class Items:
         self.edits = [len(w) * (100 - self.percent) // 100 for w in self.words]
         if not keep:
             return
-        self.longest = max(len(w) + d for w, d in zip(self.words, self.edits, strict=True))
-        self.least = max(1, min(len(w) - 2 - 3 * d for w, d in zip(self.words, self.edits, strict=True)))
-        self.triples = np.unique(np.concatenate([shingles(w, 3) for w in self.words]))
+        self.item_triples = [shingles(w, 3) for w in self.words]
+        self.triples = np.unique(np.concatenate(self.item_triples))
         self.screen = np.zeros(1 << _SCREEN_BITS, bool)
         self.screen[self.triples & np.uint64((1 << _SCREEN_BITS) - 1)] = True
         flat, stops = np.concatenate(self.words), np.cumsum([len(w) for w in self.words])
@@ -92,10 +95,17 @@ class Items:
         rng = np.random.default_rng(7)
         #: for each length class: the sampled coordinates of each walk and table
         self.sampled = {int(c): rng.integers(0, max(1, int(1.6 * CLASS * c)), (WALKS, TABLES, SAMPLED)) for c in np.unique(kind)}
-        self.steps = max(int(x.max()) for x in self.sampled.values()) + 1
+        self.steps = {c: int(x.max()) + 1 for c, x in self.sampled.items()}
+        #: for each length class: its word triples, the longest stretch that a match can take, and the fewest triples that it shares
+        self.own_triples, self.longest, self.least = {}, {}, {}
+        for c in self.sampled:
+            own = [k for k in range(len(kind)) if kind[k] == c]
+            self.own_triples[c] = np.unique(np.concatenate([self.item_triples[k] for k in own]))
+            self.longest[c] = max(len(self.words[k]) + self.edits[k] for k in own)
+            self.least[c] = max(1, min(len(self.words[k]) - 2 - 3 * self.edits[k] for k in own))
         self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
         for walk in range(WALKS):
-            symbols = _walks(flat, starts, stops, self.steps, walk)
+            symbols = _walks(flat, starts, stops, max(self.steps.values()), walk)
             for c, at in self.sampled.items():
                 own = np.flatnonzero(kind == c)
                 for t in range(TABLES):
@@ -116,28 +126,27 @@ class Items:
         triples = shingles(words, 3)
         hit = np.zeros(n + 1, bool)
         hit[: len(triples)] = self.screen[triples & np.uint64((1 << _SCREEN_BITS) - 1)]
-        at = np.flatnonzero(hit)
-        if len(at) < self.least:
-            return []
-        near = np.minimum(np.searchsorted(self.triples, triples[at]), len(self.triples) - 1)
-        at = at[self.triples[near] == triples[at]]  # triples across two documents do no harm: they only let more through
-        if len(at) < self.least:
-            return []
-        edge = np.zeros(n + 2, np.int64)
-        last = at[self.least - 1 :]
-        begin = np.maximum(last - self.longest, 0)
-        good = at[: len(last)] >= begin
-        np.add.at(edge, begin[good], 1)
-        np.add.at(edge, at[: len(last)][good] + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-        row = np.searchsorted(first, starts, "right") - 1
+        hits = np.flatnonzero(hit)
         found: list[tuple[int, int, int]] = []
-        for a in range(0, len(starts), 1 << 14):
-            own, rows = starts[a : a + (1 << 14)], row[a : a + (1 << 14)]
-            for walk in range(WALKS):
-                symbols = _walks(words, own, first[rows + 1], self.steps, walk)
-                for (w, c, t), (keys, items) in self.tables.items():
-                    if w == walk:
+        for c, own_triples in self.own_triples.items():
+            near = np.minimum(np.searchsorted(own_triples, triples[hits]), len(own_triples) - 1)
+            at = hits[own_triples[near] == triples[hits]]  # triples across two documents do no harm: they only let more through
+            last = at[self.least[c] - 1 :]
+            begin = np.maximum(last + 3 - self.longest[c], 0)
+            good = at[: len(last)] >= begin
+            if not good.any():
+                continue
+            edge = np.zeros(n + 2, np.int64)
+            np.add.at(edge, begin[good], 1)
+            np.add.at(edge, at[: len(last)][good] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+            row = np.searchsorted(first, starts, "right") - 1
+            for a in range(0, len(starts), 1 << 14):
+                own, rows = starts[a : a + (1 << 14)], row[a : a + (1 << 14)]
+                for walk in range(WALKS):
+                    symbols = _walks(words, own, first[rows + 1], self.steps[c], walk)
+                    for t in range(TABLES):
+                        keys, items = self.tables[walk, c, t]
                         key = self.key(symbols, self.sampled[c][walk, t])
                         lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                         for k in np.flatnonzero(lo < hi):
@@ -153,7 +162,10 @@ class Items:
             row, item = group[0][:2]
             size, most = len(self.words[item]), self.edits[item]
             begin, stop = max(int(first[row]), group[0][2] - most), min(int(first[row + 1]), group[-1][2] + size + most)
-            cost, a, b = best_match(self.words[item], words[begin:stop])
+            text = words[begin:stop]
+            if np.isin(self.item_triples[item], shingles(text, 3)).sum() < size - 2 - 3 * most:
+                return
+            cost, a, b = best_match(self.words[item], text)
             if cost <= most:
                 out.setdefault(row, []).append((item, begin + a - int(first[row]), begin + b - int(first[row]), cost))
 
@@ -190,9 +202,10 @@ def _matcher(items: Items):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id, text, matches`` of every row. ``matches``: item, place (in bare words) and edits, at most ``100 - percent`` per cent of the item's words."""
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<item_id: long, from_word: int, to_word: int, edits: int>>").alias("matches"))
+def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """``id, text, matches`` of every row (``with_row``: also all of its columns, as struct ``row``). ``matches``: item, place (in bare words) and edits, at most ``100 - percent`` per cent of the item's words."""
+    row = [F.struct(*docs.columns).alias("row")] if with_row else []
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *row, F.lit(None).cast("array<struct<item_id: long, from_word: int, to_word: int, edits: int>>").alias("matches"))
     batch: list = []
 
     def matched(frame: DataFrame) -> DataFrame:
