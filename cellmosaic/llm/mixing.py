@@ -53,7 +53,7 @@ def source_targets(sizes: list[int], weights: list[float], max_repeats: float) -
 
 @dataclass
 class Mix:
-    """``documents``: ``row, id, src, size, source_size, target``; ``slots``: ``slot, src, block, lo, hi`` (words of the block that it takes);
+    """``documents``: ``row, key, id, src, size, source_size, target`` (``key``: ``xxhash64`` of seed, id and text); ``slots``: ``slot, src, block, lo, hi`` (words of the block that it takes);
     ``parts``: ``src, block, row, lo, hi, at`` (a document's words in a block; ``at``: number of the first one in the document)."""
 
     documents: DataFrame
@@ -68,9 +68,9 @@ class Mix:
         return slots.join(parts, ["src", "block"]).filter(lo < hi).select("slot", "row", (start + lo).alias("from_word"), (start + hi).alias("to_word"))
 
     def taken(self) -> DataFrame:
-        """``row, id, size, source_size, target, taken`` of every document."""
+        """``row, key, id, size, source_size, target, taken`` of every document."""
         taken = self.pieces().groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-        return self.documents.join(taken, "row", "left").select("row", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return self.documents.join(taken, "row", "left").select("row", "key", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _schedule(spark: SparkSession, needs: list[int]) -> DataFrame:
@@ -144,4 +144,4 @@ def mix_sources(
     slots = _schedule(spark, needs).join(sources.select("src", "blocks", "whole", "rest", "source_size"), "src")
     slots = slots.withColumn("block", F.expr("rank % blocks")).withColumn("end", F.when(F.floor(F.col("rank") / F.col("blocks")) < F.col("whole"), F.col("source_size")).otherwise(F.col("rest")))
     slots = slots.select("slot", "src", "block", F.lit(0).cast("long").alias("lo"), F.least(F.lit(block).cast("long"), F.col("end") - F.col("block") * block).alias("hi"))
-    return Mix(own.select("row", "id", "src", "size", "source_size", "target"), slots, parts)
+    return Mix(own.select("row", "key", "id", "src", "size", "source_size", "target"), slots, parts)
