@@ -45,6 +45,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds any file or partition that was committed. Replacing partitions one by one leaves no mark of success."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(where))
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The dataset at a path, built first if it isn't there or ``force`` is set."""
     if force or not exists(spark, path):
@@ -56,7 +63,7 @@ def register_views(spark: SparkSession, aoi: str, levels: dict[int, str]) -> lis
     """A temporary view for each level whose cells are there."""
     names = []
     for level, path in levels.items():
-        if exists(spark, path):
+        if has_data(spark, path):
             spark.read.parquet(path).createOrReplaceTempView(f"cells_{aoi}_l{level}")
             names.append(f"cells_{aoi}_l{level}")
     return names
