@@ -70,7 +70,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums / (counts + NEUTRAL), -500, 500)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int = 5, batch: int = 64, rate: float = 0.6, seed: int = 11) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int = 5, batch: int = 32, rate: float = 0.6, seed: int = 11) -> Model:
     """``share``: of label 1 among all texts, to which the balanced sample's odds are brought back."""
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not len(labels) or labels.min() == labels.max():
@@ -90,8 +90,11 @@ def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int
         bufs.append(block.buf)
         base += len(block.buf)
     vocabulary, where = np.unique(np.concatenate(keys), return_index=True)
-    features, at = word_features(np.concatenate(bufs), np.concatenate(starts)[where], np.concatenate(ends)[where])
-    full = np.diff(at)
+    data, starts, ends = np.concatenate(bufs), np.concatenate(starts)[where], np.concatenate(ends)[where]
+    parts = [word_features(data, starts[k : k + 10_000], ends[k : k + 10_000]) for k in range(0, len(starts), 10_000)]  # so that no more than some MB are held at once
+    features, full = np.concatenate([f for f, _ in parts]), np.concatenate([np.diff(a) for _, a in parts])
+    at = np.append(0, np.cumsum(full))
+    del parts, data, bufs, keys, spots, starts, ends
     bags, seen = [], np.zeros(BUCKETS, np.int32)
     for h in docs:
         word = np.unique(np.searchsorted(vocabulary, h))
