@@ -85,6 +85,11 @@ def within(lon: Column, lat: Column, rings: list[Ring]) -> Column:
     return within_box(lon, lat, bounds(rings)) & (total % 2 == 1)
 
 
+def point_within(point: Column, rings: list[Ring]) -> Column:
+    """The same test of a ``struct<lon, lat>`` that takes long to compute: it is named once, however many edges there are."""
+    return F.exists(F.array(point), lambda p: within(p["lon"], p["lat"], rings))
+
+
 def _cut(a, b, c, d) -> bool:
     def turn(p, q, r):
         v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])

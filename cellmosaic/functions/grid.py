@@ -43,7 +43,7 @@ def grid_xy(lon: Column, lat: Column, level: int) -> tuple[Column, Column]:
 
 def _by_byte(x: Column, table: list[int], bits: int, step: int) -> Column:
     """Each byte of the low ``bits`` through a table; results ``step`` bits apart."""
-    values = F.array(*[_long(v) for v in table])
+    values = F.expr(f"array({', '.join(f'{v}L' for v in table)})")  # one literal after constant folding
     parts = [F.shiftleft(F.get(values, F.shiftright(x, at).bitwiseAND(_long(255)).cast("int")), at // 8 * step) for at in range(0, max(1, bits), 8)]
     return reduce(Column.bitwiseOR, parts)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.config import BANDS, INDICES, PERIODS
 from cellmosaic.functions import grid
-from cellmosaic.functions.geom import within, within_box
+from cellmosaic.functions.geom import point_within, within_box
 from cellmosaic.functions.spectral import class_name, indices, is_valid
 from cellmosaic.operators import cells, metrics, model, pixels, sampling, validation
 from cellmosaic.operators.grid_spec import grid_spec
@@ -508,8 +508,8 @@ def bench_window_pixel(spark, d):
 
 @query(_DEDUP + _CENTRES + f"SELECT {_N} AS n, round(avg(cast(B08 AS double)), 6) AS b08 FROM dd JOIN ctr USING (cell_id) WHERE {_in_polygon()}")
 def bench_zonal_cell(spark, d):
-    own = _dedup(spark, d).withColumn("p", grid.cell_to_point(F.col("cell_id"), L))
-    return _rounded(own.filter(within(F.col("p.lon"), F.col("p.lat"), POLYGON)).agg(F.count("*").alias("n"), F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
+    own = _dedup(spark, d).filter(point_within(grid.cell_to_point(F.col("cell_id"), L), POLYGON))
+    return _rounded(own.agg(F.count("*").alias("n"), F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
 
 
 @query(PX + f"SELECT {_N} AS n, round(avg(B08), 6) AS b08 FROM pxl WHERE B08 > 0 AND {_in_polygon()}")
