@@ -12,6 +12,7 @@ scores. An empty table gives an empty result. Other columns, whatever their name
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -70,15 +71,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums / (counts + NEUTRAL), -500, 500)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int = 5, batch: int = 32, rate: float = 0.6, seed: int = 11) -> Model:
+def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, share: float, epochs: int = 5, batch: int = 32, rate: float = 0.6, seed: int = 11) -> Model:
     """``share``: of label 1 among all texts, to which the balanced sample's odds are brought back."""
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), prior)
     keys, starts, ends, spots, base = [], [], [], [], 0
-    docs: list[np.ndarray] = []
+    docs: list[np.ndarray | None] = []
     bufs = []
-    for block in blocks(pa.array(texts, pa.large_string())):
+    for block in blocks(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string()), 1 << 18):  # small ones: the driver keeps tables as long as a block
         start, end, first = block.words()
         h = block.hashes(start, end, lower=True)
         docs += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -96,8 +97,8 @@ def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int
     at = np.append(0, np.cumsum(full))
     del parts, data, bufs, keys, spots, starts, ends
     bags, seen = [], np.zeros(BUCKETS, np.int32)
-    for h in docs:
-        word = np.unique(np.searchsorted(vocabulary, h))
+    for k, h in enumerate(docs):
+        word, docs[k] = np.unique(np.searchsorted(vocabulary, h)).astype(np.int32), None
         bags.append((word, np.full(len(word), 1 / (int(full[word].sum()) + NEUTRAL), np.float32)))
         own = np.zeros(BUCKETS, bool)
         own[features[np.repeat(at[word] - np.append(0, np.cumsum(full[word]))[:-1], full[word]) + np.arange(full[word].sum())]] = True
@@ -105,7 +106,8 @@ def train(texts: list[str | None], labels: np.ndarray, share: float, epochs: int
     often = (seen >= LEAST_DOCS)[features]
     at = np.append(0, np.cumsum(often))[at]
     features, size = features[often], np.diff(at)
-    bags = [(w[k], c[k]) for w, c in bags for k in (size[w] > 0,)]
+    for k, (w, c) in enumerate(bags):
+        bags[k] = w[size[w] > 0], c[size[w] > 0]
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -202,7 +204,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, id_col: s
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     got = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(2 * rows).select("text", "y").toArrow()
     total = sum(counts.values())
-    return train(got.column("text").to_pylist(), got.column("y").to_numpy(), counts.get(1, 0) / total if total else 0.0)
+    model = train(got.column("text"), got.column("y").to_numpy(), counts.get(1, 0) / total if total else 0.0)
+    del got
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Memory that training has freed goes back to the system: the driver lives on long after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
