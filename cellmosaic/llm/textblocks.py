@@ -6,6 +6,7 @@ Documents are taken in blocks of a few MB; a longer document is a block of its o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,24 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(n + 1, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n <= BLOCK_BYTES:  # those of a longer document aren't kept
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers and the driver live on long after a batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,6 +108,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         own = offsets[first : last + 1]
         yield Block(data[own[0] : own[-1]], own - own[0], first)
         first = last
+    give_back()
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

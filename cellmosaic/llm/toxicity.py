@@ -12,7 +12,6 @@ scores. An empty table gives an empty result. Other columns, whatever their name
 
 from __future__ import annotations
 
-import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.llm.textblocks import Block, blocks, mix
+from cellmosaic.llm.textblocks import Block, blocks, give_back, mix
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (4, 5)
 LEAST_DOCS, NEUTRAL = 5, 200  # features of fewer training texts teach nothing; every text has so many features without weight besides its own
@@ -206,18 +205,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, id_col: s
     total = sum(counts.values())
     model = train(got.column("text"), got.column("y").to_numpy(), counts.get(1, 0) / total if total else 0.0)
     del got
-    _give_back()
+    give_back()
     return model
 
 
-def _give_back() -> None:
-    """Memory that training has freed goes back to the system: the driver lives on long after it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
-
-
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` as struct ``row``, and ``score``."""
     name = f"{hash((model.bias, model.weights.tobytes()))}"
@@ -227,7 +218,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             _scorers.clear()
             _scorers[name] = Scorer(model)
         for batch in batches:
-            for block in blocks(batch.column("text"), 4 << 20):
+            for block in blocks(batch.column("text"), 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(block.first, block.n), pa.array(_scorers[name].score(block))], ["row", "score"])
 
     frame = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
