@@ -4,7 +4,9 @@ The vocabulary's pieces form a trie with two roots, one for a word's first piece
 matching goes on once no child fits, and the number of pieces that are then complete. A word is counted in time linear in its
 length, and no piece is ever built. A task counts each distinct word once while it stays in the task's cache.
 
-A word that the vocabulary can't spell counts as one unknown token, as in greedy word-piece encoding.
+A word is matched with the word mark before it: where no marked piece fits, the bare mark is its first token, if the vocabulary has it.
+Characters that the vocabulary lacks count as their UTF-8 bytes where it has pieces for all bytes; elsewhere a word that
+it can't spell counts as one unknown token, as in greedy word-piece encoding.
 
 Defined results: null and empty texts have no words and 0 tokens. Repeated rows and null ids pass through. An empty table gives an empty
 result. Other columns, whatever their names, are not read.
@@ -26,13 +28,16 @@ MARK = "▁"
 
 
 class LongestMatch:
-    """``first``: pieces that start a word; ``later``: pieces that go on."""
+    """``first``: pieces that start a word, the empty one if the mark alone may; ``later``: pieces that go on. ``by_bytes``: a character that no piece fits counts as its bytes."""
 
-    def __init__(self, first: Iterable[str], later: Iterable[str]):
+    def __init__(self, first: Iterable[str], later: Iterable[str], by_bytes: bool = False):
         child: list[dict[str, int]] = [{}, {}]  # node 0: a word's start; node 1: where a piece has just ended
         whole: set[int] = set()
+        fail, popped = [-1, -1], [0, 0]
         for root, pieces in ((0, first), (1, later)):
             for piece in pieces:
+                if not piece and root == 0:
+                    fail[0], popped[0] = 1, 1
                 node = root
                 for c in piece:
                     if c not in child[node]:
@@ -41,7 +46,10 @@ class LongestMatch:
                     node = child[node][c]
                 if piece:
                     whole.add(node)
-        fail, popped = [-1] * len(child), [0] * len(child)
+        if by_bytes and fail[0] < 0:
+            fail[0], popped[0] = 1, len(MARK.encode())
+        fail += [-1] * (len(child) - 2)
+        popped += [0] * (len(child) - 2)
         level = [0, 1]
         while level:
             after = []
@@ -57,8 +65,10 @@ class LongestMatch:
                         z = fail[z]
                     if z >= 0:
                         fail[v], popped[v] = child[z][c], n
+                    elif by_bytes:
+                        fail[v], popped[v] = 1, n + len(c.encode())
             level = after
-        self.child, self.fail, self.popped = child, fail, popped
+        self.child, self.fail, self.popped, self.by_bytes = child, fail, popped, by_bytes
 
     def count(self, word: str) -> int:
         """The number of greedy pieces of the word; -1 if it can't be spelt."""
@@ -69,8 +79,14 @@ class LongestMatch:
                 n += popped[node]
                 node = fail[node]
                 if node < 0:
-                    return -1
-            node = child[node][c]
+                    break
+            if node >= 0:
+                node = child[node][c]
+            elif self.by_bytes:
+                n += len(c.encode())
+                node = 1
+            else:
+                return -1
         while node != 1:
             n += popped[node]
             node = fail[node]
@@ -80,12 +96,20 @@ class LongestMatch:
 
 
 def load_vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """Word-initial pieces (marked in the file) and the others of a ``sentencepiece`` model; control and byte pieces are left out."""
+    """Word-initial pieces without their mark (the bare mark is the empty one) and the pieces that can go on of a ``sentencepiece`` model; control and byte pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
-    return [p[1:] for p in pieces if p.startswith(MARK) and len(p) > 1], [p for p in pieces if not p.startswith(MARK)]
+    return [p[1:] for p in pieces if p.startswith(MARK)], pieces
+
+
+def has_bytes(path: str) -> bool:
+    """Whether a ``sentencepiece`` model has a piece for each byte."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(k) for k in range(model.get_piece_size())) == 256
 
 
 class Counter:
@@ -124,7 +148,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _counters:
-            _counters[vocabulary] = Counter(LongestMatch(*load_vocabulary(vocabulary)))
+            _counters[vocabulary] = Counter(LongestMatch(*load_vocabulary(vocabulary), has_bytes(vocabulary)))
         counter = _counters[vocabulary]
         for batch in batches:
             for block in blocks(batch.column("text"), 4 << 20):
