@@ -1,12 +1,12 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to a share of edits in its words.
 
-Items and documents are sequences of bare words (runs of letters and digits, A-Z lower-cased). The CGK embedding walks over a
-sequence by random bits of the words that it reads, so that sequences at a small edit distance come out at a small Hamming
-distance. From ``WALKS`` walks, ``TABLES`` hashes of ``SAMPLED`` random coordinates each are taken, for every item and for every window of its size in a
-document; where a hash agrees, the edit distance is computed in full (the item against the best stretch of words there), and it alone decides.
+Items and documents are sequences of bare words (runs of letters and digits, A-Z lower-cased). An item of L words within d edits shares
+at least L - q + 1 - qd of its runs of q words with what it matches, in a stretch of L + d words at most. ``q`` is 3, or 2 or 1 where that
+number would be below one: so each item, however long, has a screen that loses nothing. Runs of words are looked up in
+inverted lists of the items; where enough of an item's stand close together, the edit distance is computed in full
+(the item against the best stretch of words there), and it alone decides.
 
-Before that a lossless screen leaves out windows: an item of L words within d edits shares at least L - 2 - 3d of its word
-triples with what it matches, so stretches with fewer of them hold no match. Items of about one length are screened and sought together.
+Items of about one length are screened together first, so that runs of words that many items share cost little elsewhere.
 
 Items are taken in blocks of ``ITEMS`` (at most a few tens of MB for each task); more items mean more passes over the documents.
 
@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.llm.textblocks import blocks, mix, shingles
+from cellmosaic.llm.textblocks import blocks, shingles
 
-WALKS, TABLES, SAMPLED = 4, 8, 2
-MIN_WORDS, CLASS, ITEMS = 8, 8, 20_000
+MIN_WORDS, CLASS, ITEMS, PAIRS = 8, 8, 20_000, 1 << 21
 _SCREEN_BITS = 22
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("from_word", pa.int32()), ("to_word", pa.int32()), ("edits", pa.int32())]))
 
@@ -52,28 +51,21 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def _walks(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """The symbols that one walk reads from each start on; past a stop it reads nothing."""
-    out = np.zeros((steps, len(starts)), np.uint64)
-    if not len(starts):
-        return out
-    reach = min(len(words), int(starts.max()) + steps + 1)
-    base = int(starts.min())  # starts come in order: only these words can be read
-    padded = np.append(words[base:reach], np.uint64(0))
-    at, stops, bits = starts - base, np.minimum(stops, reach) - base, None
-    for j in range(steps):
-        if j % 64 == 0:
-            bits = mix(padded + np.uint64((1000 * walk + j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        here = np.minimum(at, stops)
-        symbol = np.where(at < stops, padded[here], np.uint64(0))
-        out[j] = symbol
-        at += ((bits[here] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-    return out
+@dataclass
+class _Class:
+    """Items of about one length with runs of ``q`` words: ``keys`` in order, the items of each from ``at`` to the next; the fewest runs that a match shares, and its longest stretch."""
+
+    q: int
+    keys: np.ndarray
+    at: np.ndarray
+    items: np.ndarray
+    least: int
+    longest: int
 
 
 @dataclass
 class Items:
-    """Hash tables over a block of items."""
+    """Inverted lists over a block of items."""
 
     ids: list[int | None]
     words: list[np.ndarray]
@@ -82,100 +74,90 @@ class Items:
     def __post_init__(self):
         keep = [k for k, w in enumerate(self.words) if len(w) >= MIN_WORDS]
         self.ids, self.words = [self.ids[k] for k in keep], [self.words[k] for k in keep]
-        self.edits = [len(w) * (100 - self.percent) // 100 for w in self.words]
-        if not keep:
-            return
-        self.item_triples = [shingles(w, 3) for w in self.words]
-        self.triples = np.unique(np.concatenate(self.item_triples))
-        self.screen = np.zeros(1 << _SCREEN_BITS, bool)
-        self.screen[self.triples & np.uint64((1 << _SCREEN_BITS) - 1)] = True
-        flat, stops = np.concatenate(self.words), np.cumsum([len(w) for w in self.words])
-        starts = stops - np.array([len(w) for w in self.words])
-        kind = np.array([len(w) // CLASS for w in self.words])
-        rng = np.random.default_rng(7)
-        #: for each length class: the sampled coordinates of each walk and table
-        self.sampled = {int(c): rng.integers(0, max(1, int(1.6 * CLASS * c)), (WALKS, TABLES, SAMPLED)) for c in np.unique(kind)}
-        self.steps = {c: int(x.max()) + 1 for c, x in self.sampled.items()}
-        #: for each length class: its word triples, the longest stretch that a match can take, and the fewest triples that it shares
-        self.own_triples, self.longest, self.least = {}, {}, {}
-        for c in self.sampled:
-            own = [k for k in range(len(kind)) if kind[k] == c]
-            self.own_triples[c] = np.unique(np.concatenate([self.item_triples[k] for k in own]))
-            self.longest[c] = max(len(self.words[k]) + self.edits[k] for k in own)
-            self.least[c] = max(1, min(len(self.words[k]) - 2 - 3 * self.edits[k] for k in own))
-        self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for walk in range(WALKS):
-            symbols = _walks(flat, starts, stops, max(self.steps.values()), walk)
-            for c, at in self.sampled.items():
-                own = np.flatnonzero(kind == c)
-                for t in range(TABLES):
-                    keys = self.key(symbols[:, own], at[walk, t])
-                    order = np.argsort(keys, kind="stable")
-                    self.tables[walk, c, t] = keys[order], own[order]
-
-    @staticmethod
-    def key(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(symbols.shape[1], np.uint64)
-        for j in at:
-            out = mix(out + symbols[j])
-        return out
-
-    def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """Row, item and start of every window that agrees with an item in a hash."""
-        n = len(words)
-        triples = shingles(words, 3)
-        hit = np.zeros(n + 1, bool)
-        hit[: len(triples)] = self.screen[triples & np.uint64((1 << _SCREEN_BITS) - 1)]
-        hits = np.flatnonzero(hit)
-        found: list[tuple[int, int, int]] = []
-        for c, own_triples in self.own_triples.items():
-            near = np.minimum(np.searchsorted(own_triples, triples[hits]), len(own_triples) - 1)
-            at = hits[own_triples[near] == triples[hits]]  # triples across two documents do no harm: they only let more through
-            last = at[self.least[c] - 1 :]
-            begin = np.maximum(last + 3 - self.longest[c], 0)
-            good = at[: len(last)] >= begin
-            if not good.any():
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.edits = size * (100 - self.percent) // 100
+        self.span = size + self.edits
+        run = np.ones(len(keep), np.int64)
+        for q in (2, 3):
+            run[size - q + 1 - q * self.edits >= 1] = q
+        self.need = np.maximum(1, size - run + 1 - run * self.edits)
+        self.classes: list[_Class] = []
+        self.screens: dict[int, np.ndarray] = {}
+        for q, c in sorted(set(zip(run.tolist(), (size // CLASS).tolist(), strict=True))):
+            own = np.flatnonzero((run == q) & (size // CLASS == c))
+            grams = [np.unique(shingles(self.words[k], q)) for k in own]
+            flat, items = np.concatenate(grams), np.repeat(own, [len(g) for g in grams])
+            order = np.argsort(flat, kind="stable")
+            keys, at = np.unique(flat[order], return_index=True)
+            self.classes.append(_Class(q, keys, np.append(at, len(flat)), items[order], int(self.need[own].min()), int(self.span[own].max())))
+            self.screens.setdefault(q, np.zeros(1 << _SCREEN_BITS, bool))[keys & np.uint64((1 << _SCREEN_BITS) - 1)] = True
+
+    def _stretches(self, kind: _Class, at: np.ndarray, slot: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Row, item, begin and stop of stretches where one item has as many runs of words as a match needs."""
+        times = kind.at[slot + 1] - kind.at[slot]
+        where = np.repeat(kind.at[slot] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        pos, item = np.repeat(at, times), kind.items[where]
+        order = np.argsort(item, kind="stable")
+        pos, item = pos[order], item[order]
+        row = np.searchsorted(first, pos, "right") - 1
+        i = np.arange(len(pos))
+        j = i + self.need[item] - 1
+        i, j = i[j < len(pos)], j[j < len(pos)]
+        good = (item[i] == item[j]) & (row[i] == row[j]) & (pos[j] - pos[i] <= self.span[item[i]] - kind.q)
+        i, j = i[good], j[good]
+        if not len(i):
+            return []
+        item, row = item[i], row[i]
+        begin = np.maximum(pos[j] + kind.q - self.span[item], first[row])
+        stop = np.minimum(pos[i] + self.span[item], first[row + 1])
+        new = np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (begin[1:] > stop[:-1]))
+        last = np.append(new[1:], True)
+        return list(zip(row[new].tolist(), item[new].tolist(), begin[new].tolist(), stop[last].tolist(), strict=True))
+
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Row, item, begin and stop of every stretch that can hold a match."""
+        found: list[tuple[int, int, int, int]] = []
+        hits = {}
+        for q, screen in self.screens.items():
+            grams = shingles(words, q)
+            at = np.flatnonzero(screen[grams & np.uint64((1 << _SCREEN_BITS) - 1)])
+            at = at[at + q <= first[np.searchsorted(first, at, "right")]]  # a run of words lies in one document
+            hits[q] = at, grams[at]
+        for kind in self.classes:
+            at, grams = hits[kind.q]
+            slot = np.minimum(np.searchsorted(kind.keys, grams), len(kind.keys) - 1)
+            same = kind.keys[slot] == grams
+            at, slot = at[same], slot[same]
+            if len(at) < kind.least:
                 continue
-            edge = np.zeros(n + 2, np.int64)
-            np.add.at(edge, begin[good], 1)
-            np.add.at(edge, at[: len(last)][good] + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-            row = np.searchsorted(first, starts, "right") - 1
-            for a in range(0, len(starts), 1 << 14):
-                own, rows = starts[a : a + (1 << 14)], row[a : a + (1 << 14)]
-                for walk in range(WALKS):
-                    symbols = _walks(words, own, first[rows + 1], self.steps[c], walk)
-                    for t in range(TABLES):
-                        keys, items = self.tables[walk, c, t]
-                        key = self.key(symbols, self.sampled[c][walk, t])
-                        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                        for k in np.flatnonzero(lo < hi):
-                            found += [(int(rows[k]), int(items[x]), int(own[k])) for x in range(lo[k], hi[k])]
-        return sorted(set(found))
+            close = np.flatnonzero(at[kind.least - 1 :] - at[: len(at) - kind.least + 1] <= kind.longest - kind.q)
+            edge = np.zeros(len(at) + 1, np.int64)
+            edge[close] += 1
+            edge[close + kind.least] -= 1
+            kept = np.cumsum(edge)[:-1] > 0
+            at, slot = at[kept], slot[kept]
+            pairs = np.cumsum(kind.at[slot + 1] - kind.at[slot])
+            a = 0
+            while a < len(at):  # parts of about ``PAIRS``, each with what a stretch that begins in it can reach
+                b = max(a + 1, int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + PAIRS, "right")))
+                end = int(np.searchsorted(at, at[b - 1] + kind.longest))
+                found += self._stretches(kind, at[a:end], slot[a:end], first)
+                a = b
+        return sorted(found)
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
         """Row: item, first and past-the-last word, and edits of every match, the best one where several overlap."""
         out: dict[int, list[tuple[int, int, int, int]]] = {}
-        group: list[tuple[int, int, int]] = []
-
-        def verify():
-            row, item = group[0][:2]
-            size, most = len(self.words[item]), self.edits[item]
-            begin, stop = max(int(first[row]), group[0][2] - most), min(int(first[row + 1]), group[-1][2] + size + most)
-            text = words[begin:stop]
-            if np.isin(self.item_triples[item], shingles(text, 3)).sum() < size - 2 - 3 * most:
-                return
-            cost, a, b = best_match(self.words[item], text)
-            if cost <= most:
+        joined: list[list[int]] = []
+        for row, item, begin, stop in self.candidates(words, first):
+            if joined and joined[-1][:2] == [row, item] and begin <= joined[-1][3]:
+                joined[-1][3] = max(stop, joined[-1][3])
+            else:
+                joined.append([row, item, begin, stop])
+        for row, item, begin, stop in joined:
+            cost, a, b = best_match(self.words[item], words[begin:stop])
+            if cost <= self.edits[item]:
                 out.setdefault(row, []).append((item, begin + a - int(first[row]), begin + b - int(first[row]), cost))
-
-        for x in self.candidates(words, first):
-            if group and (x[:2] != group[0][:2] or x[2] > group[-1][2] + len(self.words[x[1]])):
-                verify()
-                group = []
-            group.append(x)
-        if group:
-            verify()
         return out
 
 

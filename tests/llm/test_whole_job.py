@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pytest
 
 rng = random.Random(5)
 
@@ -37,3 +38,28 @@ def test_token_counts_hold_the_mark_and_bytes(make):
     want = [(k, len(t.split()), sum(greedy("▁" + w, pieces) for w in t.split()), 0) for k, t, _ in rows]
     assert want[3][2] == 5 and want[4][2] == 7  # the mark and four bytes; mark ñ, mark ñ, mark ñ ado
     assert rows_of(token_counts(make(rows), path), "doc_id", "n_words", "n_tokens", "n_unknown") == want
+
+
+VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("b", "d", "st", "rr", "n", "x", "gh")]
+
+
+def prose(n):
+    return [rng.choice(VOCABULARY) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["drop", "add", "swap"])
+def test_contamination_finds_items_of_all_lengths(make, spark, kind):
+    """Each item at its full edit budget, scattered or at random, with edits of one kind."""
+    from cellmosaic.llm.decontaminate import contamination
+
+    items, rows = [], []
+    for k, n in enumerate((15, 30, 59, 100, 150, 250, 400) * 6):
+        own = prose(n)
+        text = list(own)
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            text[at : at + (kind != "add")] = [] if kind == "drop" else [f"e{rng.randrange(9999)}"]
+        items.append((k, " ".join(own)))
+        rows.append((k, " ".join(prose(60) + text + prose(60)), "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["id"]: [m["item_id"] for m in r["matches"]] for r in contamination(make(rows), bench).collect()}
+    assert all(k in got[k] for k in range(len(rows)))
