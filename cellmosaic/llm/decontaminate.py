@@ -2,7 +2,7 @@
 
 Items and documents are sequences of bare words (runs of letters and digits, A-Z lower-cased). An item of L words within d edits shares
 at least L - q + 1 - qd of its runs of q words with what it matches, in a stretch of L + d words at most. ``q`` is 3, or 2 or 1 where that
-number would be below one: so each item, however long, has a screen that loses nothing. Runs of words are looked up in
+number would be below one: so each item, however short or long, has a screen that loses nothing. Runs of words are looked up in
 inverted lists of the items; where enough of an item's stand close together, the edit distance is computed in full
 (the item against the best stretch of words there), and it alone decides.
 
@@ -10,7 +10,7 @@ Items of about one length are screened together first, so that runs of words tha
 
 Items are taken in blocks of ``ITEMS`` (at most a few tens of MB for each task); more items mean more passes over the documents.
 
-Defined results: null and empty texts hold nothing; items with fewer than ``MIN_WORDS`` words, null and empty ones among them, match nothing. Repeated rows get
+Defined results: null and empty texts hold nothing; items without words, null and empty ones among them, match nothing. Repeated rows get
 equal results; items with equal ids are told apart by their texts and reported once. Null ids are kept as they are. Empty tables give empty
 results or no matches. Other columns, whatever their names, are not read.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.textblocks import blocks, shingles
 
-MIN_WORDS, CLASS, ITEMS, PAIRS = 8, 8, 20_000, 1 << 21
+CLASS, ITEMS, PAIRS = 8, 20_000, 1 << 21
 _SCREEN_BITS = 22
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("from_word", pa.int32()), ("to_word", pa.int32()), ("edits", pa.int32())]))
 
@@ -72,7 +72,7 @@ class Items:
     percent: int
 
     def __post_init__(self):
-        keep = [k for k, w in enumerate(self.words) if len(w) >= MIN_WORDS]
+        keep = [k for k, w in enumerate(self.words) if len(w)]
         self.ids, self.words = [self.ids[k] for k in keep], [self.words[k] for k in keep]
         size = np.array([len(w) for w in self.words], np.int64)
         self.edits = size * (100 - self.percent) // 100
