@@ -261,9 +261,9 @@ def reproject_nearest(spark, d):
 
 @query()
 def reproject_bilinear(spark, d):
-    own = fx.pixels(spark, d).filter("tile = 'T0'")
+    own = fx.pixels(spark, d)
     source = own.filter("r < 160 and c < 160").groupBy("r", "c").agg(F.max("B08").alias("B08"))
-    return pixels.reproject_bilinear(own.select("r", "c", "lon", "lat"), source, "B08", (fx.WEST, fx.NORTH), (0.003, -0.003)).select("r", "c", "B08")
+    return pixels.reproject_bilinear(own.select("tile", "r", "c", "lon", "lat"), source, "B08", (fx.WEST, fx.NORTH), (0.003, -0.003)).select("tile", "r", "c", "B08")
 
 
 @query()
