@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.llm.decontaminate import contamination
-from cellmosaic.llm.mixing import mix_sources
+from cellmosaic.llm.mixing import WORD, mix_sources
 from cellmosaic.llm.near_dedup import near_duplicates
 from cellmosaic.llm.shared import new_path, remove, scope
 from cellmosaic.llm.token_output import read_tokens, write_tokens
@@ -66,11 +66,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
-    taken = mix_sources(docs, seed=SEED).taken().filter("size > 0")
-    copies = taken.groupBy("key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).filter("copies > 0")
+    """Each document as often as the mix takes it whole, and the first words of the one that a source's last pass cuts, so that each source gives its target to the word."""
+    taken = mix_sources(docs, seed=SEED).taken().filter("taken > 0")
+    rest = F.col("taken") % F.col("size")
+    takes = taken.groupBy("key").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"), F.collect_list(F.when(rest > 0, rest.cast("int"))).alias("rests"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text")).alias("key"))
-    return keyed.dropDuplicates(["key"]).join(copies, "key").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
+    each = keyed.dropDuplicates(["key"]).join(takes, "key").select("row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), F.col("copies")), "rests")).alias("n"))
+    words = F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    text = F.when(F.col("n").isNull(), F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("n")), ""))
+    out = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withField("n_chars", F.when(F.col("n").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return each.select(out.alias("row")).select("row.*")
 
 
 @_stage
