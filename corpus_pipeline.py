@@ -95,7 +95,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token ids", write_token_ids),
 ]
 
-#: A learnt model, sketches and a tokenizer have no SQL; ``tests/llm`` holds the stages against brute force instead.
+#: A learnt model, sketches and a tokenizer have no SQL. ``tests/llm`` holds the operators against brute force, and of the stages only ``mix``; the other four and ``run`` have no test.
 ORACLE_SQL = None
 
 
