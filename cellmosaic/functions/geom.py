@@ -85,11 +85,6 @@ def within(lon: Column, lat: Column, rings: list[Ring]) -> Column:
     return within_box(lon, lat, bounds(rings)) & (total % 2 == 1)
 
 
-def point_within(point: Column, rings: list[Ring]) -> Column:
-    """The same test of a ``struct<lon, lat>`` that takes long to compute: it is named once, however many edges there are."""
-    return F.exists(F.array(point), lambda p: within(p["lon"], p["lat"], rings))
-
-
 def _cut(a, b, c, d) -> bool:
     def turn(p, q, r):
         v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
@@ -107,6 +102,25 @@ def inside(point: tuple[float, float], rings: list[Ring]) -> bool:
     return n % 2 == 1
 
 
+def boxes_meet(minx: Column, miny: Column, maxx: Column, maxy: Column, rings: list[Ring]) -> Column:
+    """The same test of boxes in columns: an edge passes through the box (slabs of its line's parameter), or the box lies inside."""
+    tests = [within(minx, miny, rings)]
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            lo, hi = [F.lit(0.0)], [F.lit(1.0)]
+            inside_ = []
+            for a, d, low, high in ((ax, bx - ax, minx, maxx), (ay, by - ay, miny, maxy)):
+                if d == 0:
+                    inside_.append((low <= a) & (high >= a))
+                else:
+                    s, t = (low - F.lit(a)) / F.lit(d), (high - F.lit(a)) / F.lit(d)
+                    lo.append(F.least(s, t))
+                    hi.append(F.greatest(s, t))
+            crosses = (F.greatest(*lo) <= F.least(*hi)) if len(lo) > 1 else F.lit(True)
+            tests.append(reduce(lambda p, q: p & q, inside_, crosses))
+    return reduce(lambda p, q: p | q, tests)
+
+
 def box_meets(box: tuple[float, float, float, float], rings: list[Ring]) -> bool:
     """Whether a box and a polygon share a point."""
     x0, y0, x1, y1 = box

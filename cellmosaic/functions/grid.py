@@ -2,13 +2,15 @@
 
 Cylindrical equal-area: ``10 * 2^(L-1)`` columns of longitude and ``6 * 2^(L-1)`` rows of the sine of latitude. An id is face, Morton bits of
 the place in the face, a closing 1, and zeros up to level 26: children of a cell are one range of ids, and nearby cells mostly have
-nearby ids, so sorted files prune well. All is arithmetic on longs, so it stays in generated code.
+nearby ids, so sorted files prune well.
+
+Bits are spread by reading a number's binary digits in base 4, and gathered the other way round: expressions stay short, where shift-and-mask
+steps would name their argument twice each, 32 times in all.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +18,6 @@ from pyspark.sql import functions as F
 from cellmosaic.config import EARTH_RADIUS_M
 
 TOP = 26
-#: A byte's bits on every other bit, and every other bit of a byte side by side. Look-ups keep expressions small: shift-and-mask
-#: steps would name their argument twice each, 32 times in all.
-_SPREAD = [sum((b >> i & 1) << 2 * i for i in range(8)) for b in range(256)]
-_GATHER = [sum((b >> 2 * i & 1) << i for i in range(4)) for b in range(256)]
 
 
 def _long(x) -> Column:
@@ -41,17 +39,21 @@ def grid_xy(lon: Column, lat: Column, level: int) -> tuple[Column, Column]:
     return F.pmod(ix, _long(nx)), F.greatest(_long(0), F.least(iy, _long(ny - 1)))
 
 
-def _by_byte(x: Column, table: list[int], bits: int, step: int) -> Column:
-    """Each byte of the low ``bits`` through a table; results ``step`` bits apart."""
-    values = F.expr(f"array({', '.join(f'{v}L' for v in table)})")  # one literal after constant folding
-    parts = [F.shiftleft(F.get(values, F.shiftright(x, at).bitwiseAND(_long(255)).cast("int")), at // 8 * step) for at in range(0, max(1, bits), 8)]
-    return reduce(Column.bitwiseOR, parts)
+def _spread(x: Column) -> Column:
+    """Each bit of ``x`` on every other bit."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
+
+
+def _gather(x: Column, bits: int) -> Column:
+    """Every other bit of the low ``bits`` of ``x``, side by side."""
+    even = sum(1 << i for i in range(0, bits, 2))
+    return F.conv(F.conv(x.bitwiseAND(_long(even)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def xy_to_cell(ix: Column, iy: Column, level: int) -> Column:
     k = level - 1
     low = _long((1 << k) - 1)
-    x, y = (_by_byte(v.bitwiseAND(low), _SPREAD, k, 16) for v in (ix, iy))
+    x, y = (_spread(v.bitwiseAND(low)) for v in (ix, iy))
     face = F.shiftright(ix, k) * 6 + F.shiftright(iy, k)
     body = F.shiftleft(face, 2 * k).bitwiseOR(x).bitwiseOR(F.shiftleft(y, 1))
     return F.shiftleft(F.shiftleft(body, 1).bitwiseOR(_long(1)), 2 * (TOP - level))
@@ -61,12 +63,61 @@ def point_to_cell(lon: Column, lat: Column, level: int) -> Column:
     return xy_to_cell(*grid_xy(lon, lat, level), level)
 
 
+def _interleave(x: int, y: int) -> int:
+    return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(max(x, y, 1).bit_length()))
+
+
+def id_of(ix: int, iy: int, level: int) -> int:
+    """The id of one place of the grid, on the driver: for literals that a scan can prune by."""
+    k = level - 1
+    low = (1 << k) - 1
+    body = ((ix >> k) * 6 + (iy >> k)) << 2 * k | _interleave(ix & low, iy & low)
+    return (body << 1 | 1) << 2 * (TOP - level)
+
+
+def xy_of(lon: float, lat: float, level: int) -> tuple[int, int]:
+    nx, ny = size(level)
+    return math.floor((lon + 180.0) / 360.0 * nx) % nx, max(0, min(ny - 1, math.floor((math.sin(math.radians(lat)) + 1.0) / 2.0 * ny)))
+
+
+def cell_of(lon: float, lat: float, level: int) -> int:
+    return id_of(*xy_of(lon, lat, level), level)
+
+
+def disk_of(cell_xy_: tuple[int, int], level: int, k: int) -> list[int]:
+    """The ids of ``grid_disk`` around one place, sorted."""
+    nx, ny = size(level)
+    x, y = cell_xy_
+    return sorted({id_of((x + dx) % nx, y + dy, level) for dy in range(-k, k + 1) for dx in range(abs(dy) - k, k - abs(dy) + 1) if 0 <= y + dy < ny})
+
+
+def cover(box: tuple[float, float, float, float], level: int, most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of ids that hold every cell of ``level`` whose centre may lie in a box (west, south, east, north; not over the date line)."""
+    (x0, y0), (x1, y1) = xy_of(box[0], box[1], level), xy_of(min(box[2], 180 - 1e-9), box[3], level)
+    step = 0
+    while ((x1 >> step) - (x0 >> step) + 1) * ((y1 >> step) - (y0 >> step) + 1) > most and step < level - 1:
+        step += 1
+    found = []
+    for x in range(x0 >> step, (x1 >> step) + 1):
+        for y in range(y0 >> step, (y1 >> step) + 1):
+            whole = id_of(x, y, level - step)
+            half = (1 << 2 * (TOP - level + step)) - 1
+            found.append((whole - half, whole + half))
+    found.sort()
+    out = found[:1]
+    for lo, hi in found[1:]:
+        if lo <= out[-1][1] + 2:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def cell_xy(cell: Column, level: int) -> tuple[Column, Column]:
     k = level - 1
     body = F.shiftright(cell, 2 * (TOP - level) + 1)
     face = F.shiftright(body, 2 * k)
-    morton = body.bitwiseAND(_long((1 << (2 * k)) - 1))
-    x, y = _by_byte(morton, _GATHER, 2 * k, 4), _by_byte(F.shiftright(morton, 1), _GATHER, 2 * k, 4)
+    x, y = _gather(body, 2 * k), _gather(F.shiftright(body, 1), 2 * k)
     return F.shiftleft(F.floor(face / 6).cast("long"), k).bitwiseOR(x), F.shiftleft(F.pmod(face, _long(6)), k).bitwiseOR(y)
 
 

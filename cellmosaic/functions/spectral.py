@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +23,7 @@ def indices() -> dict[str, Column]:
 
 def is_valid() -> Column:
     """Pixels with any reflectance at all."""
-    return reduce(add, [F.col(b) for b in BANDS]) > 0
+    return F.expr(f"{' + '.join(BANDS)} > 0")
 
 
 def class_of(code: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmosaic.functions.grid import block_id, cell_to_point, is_test
+from cellmosaic.functions.grid import block_id, is_test
 from cellmosaic.functions.stats import mcnemar, purity_band, ratio
+from cellmosaic.operators.cells import with_centres
 
 ARMS = ("pred_a5", "pred_a5_transfer", "pred_raster")
 
@@ -15,6 +16,7 @@ def paired_table(cells: DataFrame, raster: DataFrame, stats: DataFrame, transfer
     """Cells' predictions (``cell_id, label, pred``), the raster's majority (``cell_id, value``), stats and the transferred predictions (``cell_id, pred``), by cell.
 
     All join on the cell id, so each input is shuffled once at most. A cell without a transferred prediction has null there.
+    Where ``stats`` stores the centres (``lon, lat``), they are taken from there.
     """
     out = cells.withColumnRenamed("pred", "pred_a5").join(raster.select("cell_id", F.col("value").alias("pred_raster")), "cell_id").join(stats, "cell_id")
     if transfer is not None:
@@ -22,7 +24,7 @@ def paired_table(cells: DataFrame, raster: DataFrame, stats: DataFrame, transfer
     out = out.filter("label <> 0 and pred_raster <> 0")
     if exclude:
         out = out.filter(~F.col("label").isin(*exclude))
-    return out.withColumn("_p", cell_to_point(F.col("cell_id"), level)).select("*", "_p.lon", "_p.lat").drop("_p")
+    return out if "lon" in stats.columns else with_centres(out, level)
 
 
 def with_split(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -48,10 +50,11 @@ def confusion_normalised(counts: DataFrame) -> DataFrame:
 
 def metrics_per_class(counts: DataFrame, *keys: str) -> DataFrame:
     """``keys, class, user_accuracy, producer_accuracy, f1, support`` over the classes that are observed or predicted."""
-    hit = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
-    seen = counts.groupBy(*keys, F.col("label").alias("class")).agg(F.sum("n").alias("support"), hit.alias("hits"))
-    said = counts.groupBy(*keys, F.col("pred").alias("class")).agg(F.sum("n").alias("said"))
-    both = seen.join(said, [*keys, "class"], "full").fillna(0, ["support", "hits", "said"])
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("pred"), n).otherwise(none)
+    of_label = F.struct(F.col("label").alias("class"), n.alias("support"), hit.alias("hits"), none.alias("said"))
+    of_pred = F.struct(F.col("pred").alias("class"), none.alias("support"), none.alias("hits"), n.alias("said"))
+    both = counts.select(*keys, F.explode(F.array(of_label, of_pred)).alias("_c")).select(*keys, "_c.*").groupBy(*keys, "class").agg(*[F.sum(c).alias(c) for c in ("support", "hits", "said")])
     user, producer = ratio(F.col("hits"), F.col("said")), ratio(F.col("hits"), F.col("support"))
     return both.select(*keys, "class", user.alias("user_accuracy"), producer.alias("producer_accuracy"), ratio(2 * F.col("hits"), F.col("said") + F.col("support")).alias("f1"), "support", "hits")
 

@@ -57,14 +57,20 @@ def reproject_nearest(target: DataFrame, source: DataFrame, value: str, origin:
 
 
 def reproject_bilinear(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float], nodata: int = 0) -> DataFrame:
-    """Means of the four source pixels around each target centre, weighted by nearness over those with a value; rounded half up, 0 to 65,535."""
-    y, x = (F.col("lat") - origin[1]) / step[1] - 0.5, (F.col("lon") - origin[0]) / step[0] - 0.5
-    keyed = target.select("*", y.alias("_y"), x.alias("_x"))
-    corners = F.array(*[F.struct((F.floor("_y") + dy).cast("long").alias("_r"), (F.floor("_x") + dx).cast("long").alias("_c")) for dy in (0, 1) for dx in (0, 1)])
-    four = keyed.withColumn("_k", F.explode(corners)).select("*", "_k._r", "_k._c").drop("_k")
-    weight = (1 - F.abs(F.col("_y") - F.col("_r"))) * (1 - F.abs(F.col("_x") - F.col("_c")))
-    own = source.filter(F.col(value) != nodata).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).alias("_v"))
-    found = four.join(own, ["_r", "_c"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), weight).otherwise(0.0))
-    total = F.sum("_w")
-    mean = F.when(total > 0, F.floor(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0))) / total + 0.5)).otherwise(nodata)
-    return found.groupBy(*target.columns).agg(F.least(F.lit(65535), F.greatest(F.lit(0), mean)).cast("int").alias(value))
+    """Means of the four source pixels around each target centre, weighted by nearness over those with a value; rounded half up, 0 to 65,535.
+
+    Each source pixel goes to the four squares of which it is a corner; a square is one row with its corners, so a target row joins once. ``source`` has a row a pixel at most.
+    """
+    spots = F.array(*[F.struct((F.col("r") - dy).alias("_r"), (F.col("c") - dx).alias("_c"), F.lit(2 * dy + dx).alias("_k")) for dy in (0, 1) for dx in (0, 1)])
+    own = source.filter(F.col(value) != nodata).select(F.explode(spots).alias("_s"), F.col(value).alias("_v")).select("_s.*", "_v")
+    squares = own.groupBy("_r", "_c").agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)])
+    y, x = (F.col("lat") - F.lit(origin[1])) / F.lit(step[1]) - F.lit(0.5), (F.col("lon") - F.lit(origin[0])) / F.lit(step[0]) - F.lit(0.5)
+    keyed = target.select("*", y.alias("_y"), x.alias("_x")).withColumns({"_r": F.floor("_y").cast("long"), "_c": F.floor("_x").cast("long")})
+    fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
+    weights = [(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]
+    seen = [F.when(F.col(f"_v{k}").isNotNull(), w).otherwise(F.lit(0.0)) for k, w in enumerate(weights)]
+    total = seen[0] + seen[1] + seen[2] + seen[3]
+    parts = [w * F.coalesce(f"_v{k}", F.lit(0)) for k, w in enumerate(seen)]
+    mean = F.when(total > 0, F.floor((parts[0] + parts[1] + parts[2] + parts[3]) / total + F.lit(0.5))).otherwise(F.lit(nodata))
+    joined = keyed.join(squares, ["_r", "_c"], "left")
+    return joined.select(*target.columns, F.least(F.lit(65535), F.greatest(F.lit(0), mean)).cast("int").alias(value))

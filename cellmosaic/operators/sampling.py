@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmosaic.operators.cells import with_centres
+from cellmosaic.operators.metrics import with_split
+
 
 def top_by_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group. Spark keeps only ``n`` rows a group and task before it shuffles."""
@@ -12,12 +15,15 @@ def top_by_group(df: DataFrame, groups: list[str], order: list[Column], n: int)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def sample_cells(cells: DataFrame, per_class: int = 5000, exclude: tuple[int, ...] = ()) -> DataFrame:
-    """At most ``per_class`` cells of each tile and label."""
+def sample_cells(cells: DataFrame, per_class: int = 5000, exclude: tuple[int, ...] = (), level: int | None = None, seed: int = 42) -> DataFrame:
+    """At most ``per_class`` cells of each tile and label. With ``level``, also ``lon, lat`` (unless stored), ``block``, ``test`` and ``level``, for the sampled rows only."""
     own = cells.filter("label <> 0")
     if exclude:
         own = own.filter(~F.col("label").isin(*exclude))
-    return top_by_group(own, ["tile", "label"], [F.md5(F.col("cell_id").cast("string")), F.col("cell_id")], per_class)
+    out = top_by_group(own, ["tile", "label"], [F.md5(F.col("cell_id").cast("string")), F.col("cell_id")], per_class)
+    if level is None:
+        return out
+    return with_split(out if "lon" in cells.columns else with_centres(out, level), seed).withColumn("level", F.lit(level))
 
 
 def sample_pixels(pixels: DataFrame, per_class: int = 5000, seed: int = 42) -> DataFrame:

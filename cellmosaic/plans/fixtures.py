@@ -1,20 +1,25 @@
-"""A deterministic pixel table from ``lineitem``: 250 by 240 pixels of 0.002 degrees, four overlapping tiles, integer bands."""
+"""A deterministic pixel table from ``lineitem``: 250 by 240 pixels of 0.002 degrees, four overlapping tiles, integer bands.
+
+Pixels, cells, statistics and predictions are datasets at rest, as in a real project: the first query that needs one writes it, sorted, and all read it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.config import BANDS
+from cellmosaic.config import BANDS, PERIODS
 from cellmosaic.functions.grid import cell_xy
 from cellmosaic.functions.spectral import class_of
-from cellmosaic.operators.cells import cell_stats, index_pixels, raster_majority
+from cellmosaic.operators import metrics
+from cellmosaic.operators import cells as ops
 from cellmosaic.operators.pixels import centre
+from cellmosaic.sources import store
 
 LEVEL, WEST, NORTH, STEP = 14, -0.5, 51.7, 0.002
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tile, r, c, lon, lat``, bands, ``wc_code`` and ``label``; every 37th diagonal is nodata."""
     own = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     raw = own.select(
@@ -34,8 +39,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("label", class_of(F.col("wc_code")))
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pixel table, in the order of tiles, rows and columns."""
+    return store.once(spark, "pixels", sf_dir, lambda path: store.write_sorted(_pixels(spark, sf_dir), path, "tile", "r", "c"))
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_pixels(pixels(spark, sf_dir), LEVEL)
+    return ops.index_pixels(pixels(spark, sf_dir), LEVEL)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cells of each tile, with their centres, by period and tile and in the order of ids."""
+    build = lambda: ops.with_centres(ops.cell_aggregate(indexed(spark, sf_dir)), LEVEL).withColumn("period", F.lit(PERIODS[0]))
+    return store.once(spark, "cells", sf_dir, lambda path: store.write_cells(build(), path))
 
 
 def arm(ix, iy, a: int, b: int, below: int, shift: int):
@@ -49,17 +65,19 @@ def predictions(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"pred_a5": arm(ix, iy, 7919, 104729, 75, 0), "pred_a5_transfer": arm(ix, iy, 104729, 1299709, 65, 2), "pred_raster": arm(ix, iy, 15485863, 7919, 70, 4)})
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paired table of the fixture, through the operator that joins it from its four inputs."""
-    from cellmosaic.operators.cells import _majority
-    from cellmosaic.operators.metrics import paired_table
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored statistics of all cells, with their centres."""
+    return store.once(spark, "cell-stats", sf_dir, lambda path: store.write_sorted(ops.with_centres(ops.cell_stats(indexed(spark, sf_dir)), LEVEL), path, "cell_id"))
 
-    own = indexed(spark, sf_dir)
-    arms = predictions(_majority(own, ["cell_id"], "label").select("cell_id", "label").filter("label <> 0"))
-    out = paired_table(
-        arms.select("cell_id", "label", F.col("pred_a5").alias("pred")), arms.select("cell_id", F.col("pred_raster").alias("value")), cell_stats(own), arms.select("cell_id", F.col("pred_a5_transfer").alias("pred")), LEVEL
-    )
-    return out
 
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored predictions of the three arms by cell."""
+    build = lambda: predictions(ops.majority(indexed(spark, sf_dir), ["cell_id"], "label").select("cell_id", "label").filter("label <> 0"))
+    return store.once(spark, "cell-predictions", sf_dir, lambda path: store.write_sorted(build(), path, "cell_id"))
 
-__all__ = ["LEVEL", "NORTH", "STEP", "WEST", "arm", "indexed", "paired", "pixels", "predictions", "raster_majority"]
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired table of the fixture, through the operator that joins it from its four inputs."""
+    own = arms(spark, sf_dir)
+    retrained, raster, transfer = own.select("cell_id", "label", F.col("pred_a5").alias("pred")), own.select("cell_id", F.col("pred_raster").alias("value")), own.select("cell_id", F.col("pred_a5_transfer").alias("pred"))
+    return metrics.paired_table(retrained, raster, stats(spark, sf_dir), transfer, LEVEL)

@@ -6,19 +6,19 @@ Doubles are rounded to six places where they are sums or quotients; floats are f
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.config import BANDS, INDICES, PERIODS
 from cellmosaic.functions import grid
-from cellmosaic.functions.geom import point_within, within_box
+from cellmosaic.functions.geom import bounds, within, within_box
 from cellmosaic.functions.spectral import class_name, indices, is_valid
 from cellmosaic.operators import cells, metrics, model, pixels, sampling, validation
 from cellmosaic.operators.grid_spec import grid_spec
 from cellmosaic.plans import fixtures as fx
 from cellmosaic.plans.fixture_sql import CELL, PAIRED, PX
-from cellmosaic.schema import CELL_PREDICTION  # noqa: F401  (the shape that ``external_score`` takes)
 from cellmosaic.sources import manifest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ ORACLE: dict[str, str] = {}
 L = fx.LEVEL
 POLYGON = [[(-0.45, 51.25), (-0.1, 51.3), (-0.05, 51.6), (-0.3, 51.68), (-0.42, 51.5), (-0.45, 51.25)]]
 BOX = (-0.35, 51.4, -0.25, 51.5)
-SPOT = (-0.2471, 51.4523)
+SPOT = (-0.2471, 51.4551)  # has a pixel at every scale
 
 
 def query(sql: str | None = None):
@@ -124,16 +124,10 @@ def _inventory(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _spot_cell():
-    return grid.point_to_cell(F.lit(SPOT[0]), F.lit(SPOT[1]), L)
-
-
-def _aggregate(spark, d):
-    return cells.cell_aggregate(fx.indexed(spark, d))
-
-
-def _dedup(spark, d):
-    return cells.cell_dedup(_aggregate(spark, d))
+def _dedup(spark, d, where=None):
+    """Overlapping tiles merged, from the stored cells; ``where`` is about ids and centres only, and so may come first."""
+    own = fx.cells(spark, d)
+    return cells.cell_dedup(own if where is None else own.filter(where))
 
 
 def _test(spark, d):
@@ -145,9 +139,7 @@ def _test(spark, d):
 
 @query(PX + CELL + "SELECT tile, cast(count(DISTINCT cell_id) AS bigint) AS n_cells, cast(count(*) AS bigint) AS n_pixels FROM cell GROUP BY tile")
 def hive_scan(spark, d):
-    path = store.scratch(spark, "cells")
-    store.write_cells(_aggregate(spark, d).withColumn("period", F.lit(PERIODS[0])), path)
-    return store.read_cells(spark, path, PERIODS[0]).groupBy("tile").agg(F.count("*").alias("n_cells"), F.sum("n_pixels").alias("n_pixels"))
+    return fx.cells(spark, d).filter(F.col("period") == PERIODS[0]).groupBy("tile").agg(F.count("*").alias("n_cells"), F.sum("n_pixels").alias("n_pixels"))
 
 
 @query(f"WITH m AS ({_MANIFEST}) SELECT *, concat(period, '/', tile, '/', band, '.tif') AS path FROM ({_PARSED})")
@@ -259,16 +251,35 @@ def reproject_nearest(spark, d):
     return pixels.reproject_nearest(own.select("tile", "r", "c", "lon", "lat"), source, "wc_code", (fx.WEST, fx.NORTH), (0.003, -0.003)).select("tile", "r", "c", "wc_code")
 
 
-@query()
+_CORNERS = ", ".join(f"max(CASE WHEN k = {k} THEN v END) AS v{k}" for k in range(4))
+_CORNER = "CASE WHEN v{k} IS NOT NULL THEN {w} ELSE 0::double END"
+_WEIGHTS = ", ".join(f"{_CORNER.format(k=k, w=w)} AS w{k}" for k, w in enumerate(("(1 - fy) * (1 - fx)", "(1 - fy) * fx", "fy * (1 - fx)", "fy * fx")))
+
+
+@query(
+    PX + f"""
+, co AS (SELECT r, c, max(B08) AS v FROM pxl WHERE r < 160 AND c < 160 GROUP BY r, c),
+sq AS (SELECT r - (k // 2) AS rr, c - (k % 2) AS cc, k, v FROM co, (SELECT unnest(generate_series(0, 3)) AS k) WHERE v <> 0),
+qd AS (SELECT rr, cc, {_CORNERS} FROM sq GROUP BY rr, cc),
+kk AS (SELECT tile, r, c, (lat - 51.7::double) / (-0.003)::double - 0.5::double AS y, (lon - (-0.5)::double) / 0.003::double - 0.5::double AS x FROM pxl),
+jj AS (SELECT tile, r, c, y - floor(y) AS fy, x - floor(x) AS fx, v0, v1, v2, v3 FROM kk LEFT JOIN qd ON rr = cast(floor(y) AS bigint) AND cc = cast(floor(x) AS bigint)),
+ww AS (SELECT *, {_WEIGHTS} FROM jj)
+SELECT tile, r, c, cast(CASE WHEN w0 + w1 + w2 + w3 > 0 THEN floor((w0 * coalesce(v0, 0) + w1 * coalesce(v1, 0) + w2 * coalesce(v2, 0) + w3 * coalesce(v3, 0)) / (w0 + w1 + w2 + w3) + 0.5::double) ELSE 0 END AS int) AS B08 FROM ww"""
+)
 def reproject_bilinear(spark, d):
     own = fx.pixels(spark, d)
     source = own.filter("r < 160 and c < 160").groupBy("r", "c").agg(F.max("B08").alias("B08"))
     return pixels.reproject_bilinear(own.select("tile", "r", "c", "lon", "lat"), source, "B08", (fx.WEST, fx.NORTH), (0.003, -0.003)).select("tile", "r", "c", "B08")
 
 
-@query()
+@query("""
+WITH g AS (SELECT 6378137.0::double AS a, (1 / 298.257223563::double) * (2 - 1 / 298.257223563::double) AS e2, radians(51.5::double) AS p),
+w AS (SELECT *, sqrt(1 - e2 * sin(p) * sin(p)) AS w, 10.0::double * cos(p) AS ground FROM g)
+SELECT 'london' AS aoi, 'EPSG:4326' AS crs, 51.5::double AS centroid_lat, 'EPSG:3857' AS source_crs, 10.0::double AS source_res_m, round(ground, 9) AS native_ground_res_m, round(ground, 9) AS ground_res_m,
+  round(ground / (radians(1) * a / w * cos(p)), 12) AS x_deg, round(ground / (radians(1) * a * (1 - e2) / pow(w, 3)), 12) AS y_deg, 'bilinear' AS resampling FROM w""")
 def grid_spec_(spark, d):
-    return spark.createDataFrame([grid_spec("london", 51.5, 10.0)])
+    out = spark.createDataFrame([grid_spec("london", 51.5, 10.0)])
+    return _rounded(_rounded(out, "native_ground_res_m", "ground_res_m", places=9), "x_deg", "y_deg", places=12)
 
 
 # the grid
@@ -292,7 +303,7 @@ def level_area(spark, d):
 
 @query(_DISK + "SELECT cell_id FROM ids")
 def grid_disk(spark, d):
-    return spark.range(1).select(F.explode(grid.grid_disk(_spot_cell(), L, 8)).alias("cell_id"))
+    return spark.range(1).select(F.explode(grid.grid_disk(F.lit(grid.cell_of(*SPOT, L)), L, 8)).alias("cell_id"))
 
 
 # cells
@@ -300,7 +311,7 @@ def grid_disk(spark, d):
 
 @query(_AGG + "SELECT * FROM ca")
 def cell_aggregate(spark, d):
-    return _aggregate(spark, d)
+    return cells.cell_aggregate(fx.indexed(spark, d))
 
 
 @query(_DEDUP + f"SELECT cell_id, n_pixels, {_BANDS}, label, tile FROM dd")
@@ -346,9 +357,13 @@ def block_split(spark, d):
     return own.groupBy("block").agg(F.count("*").alias("n")).withColumn("test", grid.is_test(F.col("block")))
 
 
-@query(_AGG + "SELECT tile, label, cell_id, n_pixels FROM (SELECT *, row_number() OVER (PARTITION BY tile, label ORDER BY md5(cast(cell_id AS string)), cell_id) AS rn FROM ca WHERE label <> 0) WHERE rn <= 50")
+_CELL_XY = "round((ix + 0.5::double) / 81920 * 360 - 180, 12) AS lon, round(degrees(asin((iy + 0.5::double) / 49152 * 2 - 1)), 9) AS lat"
+_CENTRES = f", ctr AS (SELECT DISTINCT cell_id, {_CELL_XY} FROM cell)"
+
+
+@query(_AGG + _CENTRES + f", sc AS (SELECT tile, label, cell_id, n_pixels FROM (SELECT *, row_number() OVER (PARTITION BY tile, label ORDER BY md5(cast(cell_id AS string)), cell_id) AS rn FROM ca WHERE label <> 0) WHERE rn <= 50), sb AS (SELECT sc.*, round(lon, 9) AS lon, lat, {_BLOCK} AS block, {L} AS level FROM sc JOIN ctr USING (cell_id)) SELECT *, {_TEST} AS test FROM sb")
 def sample_cells(spark, d):
-    return sampling.sample_cells(_aggregate(spark, d), 50).select("tile", "label", "cell_id", "n_pixels")
+    return _rounded(sampling.sample_cells(fx.cells(spark, d), 50, level=L).select("tile", "label", "cell_id", "n_pixels", "lon", "lat", "block", "level", "test"), "lon", places=9)
 
 
 @query(PX + "SELECT tile, label, r, c FROM (SELECT *, row_number() OVER (PARTITION BY tile, label ORDER BY md5(concat('42:', tile, ':', r, ':', c)), r, c) AS rn FROM pxl WHERE label <> 0) WHERE rn <= 20")
@@ -471,13 +486,10 @@ def rf_predict(spark, d):
 
 # the paired benchmark, on cells and on pixels
 
-_CELL_XY = "round((ix + 0.5::double) / 81920 * 360 - 180, 12) AS lon, round(degrees(asin((iy + 0.5::double) / 49152 * 2 - 1)), 9) AS lat"
-_CENTRES = f", ctr AS (SELECT DISTINCT cell_id, {_CELL_XY} FROM cell)"
-
 
 @query(_DEDUP + f", s AS (SELECT {_SPOT_XY}) SELECT dd.cell_id, B04, B08 FROM dd WHERE cell_id = (SELECT any_value(cell_id) FROM cell, s WHERE ix = x0 AND iy = y0)")
 def bench_point_cell(spark, d):
-    return _dedup(spark, d).filter(F.col("cell_id") == _spot_cell()).select("cell_id", "B04", "B08")
+    return _dedup(spark, d, F.col("cell_id") == grid.cell_of(*SPOT, L)).select("cell_id", "B04", "B08")
 
 
 _PX_AT = f"r = cast(floor(({SPOT[1]}::double - 51.7::double) / (-0.002)::double) AS bigint) AND c = cast(floor(({SPOT[0]}::double - (-0.5)::double) / 0.002::double) AS bigint)"
@@ -491,8 +503,8 @@ def bench_point_pixel(spark, d):
 
 @query(_DEDUP + f", s AS (SELECT {_SPOT_XY}), nb AS (SELECT DISTINCT cell_id FROM cell, s WHERE abs(ix - x0) + abs(iy - y0) <= 8) SELECT {_N} AS n, round(avg(cast(B08 AS double)), 6) AS b08 FROM dd WHERE cell_id IN (SELECT cell_id FROM nb)")
 def bench_neighbourhood(spark, d):
-    disk = spark.range(1).select(F.explode(grid.grid_disk(_spot_cell(), L, 8)).alias("cell_id"))  # 145 cells
-    own = _dedup(spark, d).join(F.broadcast(disk), "cell_id", "left_semi")
+    disk = grid.disk_of(grid.xy_of(*SPOT, L), L, 8)  # 145 cells
+    own = _dedup(spark, d, F.col("cell_id").between(disk[0], disk[-1]) & F.col("cell_id").isin(disk))
     return _rounded(own.agg(F.count("*").alias("n"), F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
 
 
@@ -508,7 +520,8 @@ def bench_window_pixel(spark, d):
 
 @query(_DEDUP + _CENTRES + f"SELECT {_N} AS n, round(avg(cast(B08 AS double)), 6) AS b08 FROM dd JOIN ctr USING (cell_id) WHERE {_in_polygon()}")
 def bench_zonal_cell(spark, d):
-    own = _dedup(spark, d).filter(point_within(grid.cell_to_point(F.col("cell_id"), L), POLYGON))
+    ranges = [F.col("cell_id").between(lo, hi) for lo, hi in grid.cover(bounds(POLYGON), L)]  # few, for scans to prune by
+    own = _dedup(spark, d, reduce(lambda a, b: a | b, ranges) & within(F.col("lon"), F.col("lat"), POLYGON))
     return _rounded(own.agg(F.count("*").alias("n"), F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
 
 
@@ -520,7 +533,7 @@ def bench_zonal_pixel(spark, d):
 
 @query(_AGG + "SELECT label, round(avg(cast(B08 AS double)), 6) AS b08 FROM ca GROUP BY label")
 def bench_group_cell(spark, d):
-    return _rounded(_aggregate(spark, d).groupBy("label").agg(F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
+    return _rounded(fx.cells(spark, d).groupBy("label").agg(F.avg(F.col("B08").cast("double")).alias("b08")), "b08")
 
 
 @query(PX + ", kk AS (SELECT unnest(generate_series(0, 8)) AS label), g AS (SELECT label, sum(B08) AS s, count(*) AS n FROM pxl WHERE label > 0 GROUP BY label) SELECT cast(kk.label AS int) AS label, round(coalesce(s, 0) / cast(greatest(coalesce(n, 0), 1) AS double), 6) AS b08 FROM kk LEFT JOIN g ON g.label = kk.label")

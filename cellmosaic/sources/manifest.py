@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.functions.geom import Ring, bounds, box_meets
+from cellmosaic.functions.geom import Ring, bounds, boxes_meet
 from cellmosaic.schema import MANIFEST
 
 ITEM = r"^([^_]+)_(.+)$"
@@ -44,15 +44,10 @@ def footprints(pixels: DataFrame, half: float) -> DataFrame:
 
 
 def tiles_for_aoi(prints: DataFrame, rings: list[Ring]) -> DataFrame:
-    """Tiles whose box meets the polygon, sorted. Boxes are compared first; the exact test runs on what is left, batch by batch."""
+    """Tiles whose box meets the polygon, sorted. Boxes are compared first, as a range that a scan can prune by."""
     x0, y0, x1, y1 = bounds(rings)
     near = prints.filter((F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0))
-
-    def exact(frames):
-        for f in frames:
-            yield f[[box_meets((r.minx, r.miny, r.maxx, r.maxy), rings) for r in f.itertuples()]][["tile"]]
-
-    return near.mapInPandas(exact, "tile string").distinct().orderBy("tile")
+    return near.filter(boxes_meet(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), rings)).select("tile").distinct().orderBy("tile")
 
 
 def cover_tiles(spark: SparkSession, box: tuple[float, float, float, float], step: int = 3) -> DataFrame:

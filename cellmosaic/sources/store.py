@@ -12,23 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROW_GROUP_BYTES = 64 << 20
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
+    """A new path in the folder that all executors share. Only a local master may do without one: there a temporary folder takes its place."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cellmosaic-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cellmosaic/{name}-{uuid.uuid4().hex}"
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
+def write_cells(cells: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Cells by period and tile, each file sorted by cell id so that its row groups prune; existing partitions are replaced one by one."""
     (
         cells.repartition("period", "tile", F.shiftright("cell_id", 40)).sortWithinPartitions("period", "tile", "cell_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("period", "tile").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("parquet.block.size", row_group_bytes).partitionBy("period", "tile").parquet(path)
     )
 
 
+def write_sorted(df: DataFrame, path: str, *keys: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """A table whose files hold ranges of ``keys``, in order, so that a look-up by key reads few row groups."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+_stored: dict[tuple[str, ...], tuple[str, DataFrame]] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> DataFrame:
+    """The table ``name`` made from the data at ``source``: written to the shared folder by this application's first call, read from there by all."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _stored or not has_data(spark, _stored[key][0]):
+        path = scratch(spark, name)
+        write(path)
+        _stored[key] = path, spark.read.parquet(path)
+    return _stored[key][1]
+
+
 def read_cells(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.filter(F.col("period") == period) if period else df
