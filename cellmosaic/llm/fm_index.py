@@ -1,4 +1,8 @@
-"""A word-level FM-index: a wavelet matrix over the Burrows-Wheeler transform, for patterns of at most ``depth`` words.
+"""A compressed, word-level FM-index: the runs of a Burrows-Wheeler transform in a wavelet matrix, for patterns of at most ``depth`` words.
+
+What is kept: the symbol of each run (a wavelet matrix), where runs start in the transform and in its sorted order (two bit vectors), where the groups
+of suffixes with equal first ``depth`` and ``depth - 1`` words start (two more), and for each of the former the number of the least value.
+Bit vectors have a 32-bit count every 64 bits and answer rank and select; no array has a number for each word.
 
 Suffixes are sorted by their first ``depth`` words only. Intervals of shorter patterns are whole groups of that order, so
 backward search stays exact up to ``depth``, and sorting takes a few rounds of prefix doubling.
@@ -8,37 +12,82 @@ from __future__ import annotations
 
 import numpy as np
 
+NONE = np.iinfo(np.int64).max
+
+
+class Bits:
+    """Packed bits with rank and select, for many places at once."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        self.words = np.packbits(np.append(bits, np.zeros(64 + (-self.n) % 64, bool)), bitorder="little").view(np.uint64)
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the one with number ``k``, from 0; ``n`` where there is none."""
+        word = np.searchsorted(self.before, k, "right") - 1
+        none = k >= int(self.before[-1])
+        word = np.where(none, 0, word)
+        left = np.where(none, 0, k - self.before[word].astype(np.int64))
+        w, at = self.words[word], np.zeros(len(k), np.int64)
+        for s in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(w & np.uint64((1 << s) - 1)).astype(np.int64)
+            up = left >= ones
+            left = np.where(up, left - ones, left)
+            w = np.where(up, w >> np.uint64(s), w)
+            at += s * up
+        return np.where(none, self.n, (word << 6) + at)
+
 
 class Wavelet:
-    """Symbols below ``size``, as packed bits with a running count every 64 bits."""
+    """Symbols below ``size``."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.levels = max(1, int(size - 1).bit_length())
-        self.words, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         for k in range(self.levels - 1, -1, -1):
             bit = ((symbols >> k) & 1).astype(bool)
-            packed = np.packbits(np.append(bit, np.zeros(64 + (-len(bit)) % 64, bool)), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.before.append(np.append(0, np.cumsum(np.bitwise_count(packed)[:-1].astype(np.int64))))
+            self.bits.append(Bits(bit))
             self.zeros.append(int((~bit).sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
+    @property
+    def nbytes(self) -> int:
+        return sum(b.nbytes for b in self.bits)
+
     def descend(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Where positions ``at`` go in the bottom order on the path of ``symbol``."""
+        """Where places ``at`` go in the bottom order on the path of ``symbol``."""
         for k in range(self.levels):
-            word = at >> 6
-            ones = self.before[k][word] + np.bitwise_count(self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = self.bits[k].rank(at)
             at = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
         return at
 
 
+def _edges(keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    out[1:] = keys[1:] != keys[:-1]
+    return out
+
+
 class FMIndex:
-    """Over texts ``words[starts[k]:starts[k + 1]]``; ``values``: a number for each text, of which the least is reported."""
+    """Over texts ``words[starts[k]:starts[k + 1]]``; ``values``: a number for each text, of which the least is reported. No texts at all match nothing."""
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, values: np.ndarray, depth: int):
         self.depth = depth
         self.symbols, ids = np.unique(words, return_inverse=True)
         n_texts, n = len(starts) - 1, len(words) + len(starts) - 1
+        self.n = n
+        if not n:
+            return
         owner = np.repeat(np.arange(n_texts), np.diff(starts))
         text = np.zeros(n, np.int64)  # 0 ends each text
         text[np.arange(len(words)) + owner] = ids + 1
@@ -49,65 +98,108 @@ class FMIndex:
         later = np.append(rank, pad)
 
         def groups(d: int) -> np.ndarray:
-            return rank * (n + 2) + later[d - h : d - h + n] if d > h else rank
+            return np.zeros(n, np.int64) if not d else rank * (n + 2) + later[d - h : d - h + n] if d > h else rank
 
         order = np.argsort(groups(depth), kind="stable")
-        self.n = n
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.symbols) + 1))])
-        self.bwt = Wavelet(text[order - 1], len(self.symbols) + 1)
+        last = text[order - 1]
+        head = _edges(last)
+        heads, length = last[head], np.diff(np.append(np.flatnonzero(head), n))
+        self.runs = Bits(head)
+        self.heads = Wavelet(heads, len(self.symbols) + 1)
+        by = np.argsort(heads, kind="stable")
+        sorted_starts = np.zeros(n, bool)
+        sorted_starts[np.append(0, np.cumsum(length[by]))[:-1]] = True
+        self.sorted_runs = Bits(sorted_starts)
         every = np.arange(len(self.symbols) + 1)
-        self.base = self.first[:-1] - self.bwt.descend(np.zeros(len(every), np.int64), every)
-        full = self._edges(groups(depth)[order])
-        self.full_id = np.cumsum(full) - 1
-        value = np.append(np.repeat(values, np.diff(starts)), 0)
-        of_position = np.full(n, np.iinfo(np.int64).max)
-        of_position[np.arange(len(words)) + owner] = value[:-1]
-        self.least = np.minimum.reduceat(of_position[order], np.flatnonzero(full))
-        # one word less: from there the next backward step gives exactly ``depth`` words. Groups may not be adjacent keys, so compare in the sorted order
-        short = self._edges(groups(depth - 1)[order])
-        begin = np.flatnonzero(short)
-        gid = np.cumsum(short) - 1
-        self.short_from, self.short_to = begin[gid], np.append(begin[1:], n)[gid]
-
-    @staticmethod
-    def _edges(keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        out[1:] = keys[1:] != keys[:-1]
-        return out
+        runs_below = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=len(every)))])[:-1]
+        self.base = (runs_below - self.heads.descend(np.zeros(len(every), np.int64), every)).astype(np.int32)
+        full = _edges(groups(depth)[order])
+        self.full = Bits(full)
+        self.values, number = np.unique(values, return_inverse=True)
+        of_place = np.full(n, len(self.values), np.uint32)
+        of_place[np.arange(len(words)) + owner] = np.repeat(number, np.diff(starts))
+        self.least = np.minimum.reduceat(of_place[order], np.flatnonzero(full))
+        self.short = Bits(_edges(groups(depth - 1)[order]))  # from there the next backward step gives exactly ``depth`` words
+
+    @property
+    def nbytes(self) -> int:
+        if not self.n:
+            return 0
+        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.base, self.full, self.values, self.least, self.short))
+
+    def _back(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The sorted order's place of the symbol's first occurrence at or after ``at`` of the transform."""
+        k = self.runs.rank(at)
+        both = self.heads.descend(np.concatenate([k, np.maximum(k - 1, 0)]), np.concatenate([symbol, symbol])) + np.concatenate([self.base[symbol]] * 2)
+        done, earlier = both[: len(at)], both[len(at) :]
+        inside = done != earlier  # the run that ``at`` is in, or just behind, is one of the symbol
+        place = self.sorted_runs.select(np.where(inside, earlier, done))
+        return np.where(inside, place + at - self.runs.select(np.maximum(k - 1, 0)), place)
 
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns with one more word in front."""
-        both = self.bwt.descend(np.concatenate([lo, hi]), np.concatenate([symbol, symbol])) + np.concatenate([self.base[symbol]] * 2)
-        return both[: len(lo)], both[len(lo) :]
-
-    def count(self, pattern: np.ndarray) -> int:
-        """How often a pattern of at most ``depth`` words occurs."""
-        lo, hi = np.zeros(1, np.int64), np.full(1, self.n, np.int64)
-        for w in pattern[::-1]:
-            k = int(np.searchsorted(self.symbols, w))
-            if k == len(self.symbols) or self.symbols[k] != w:
-                return 0
-            lo, hi = self.step(lo, hi, np.full(1, k + 1))
-            if lo[0] >= hi[0]:
-                return 0
-        return int(hi[0] - lo[0])
+        """Intervals of the patterns with one more word in front; symbol -1, a word that no text has, gives empty ones."""
+        known = np.maximum(symbol, 0)
+        both = self._back(np.concatenate([lo, hi]), np.concatenate([known, known]))
+        return both[: len(lo)], np.where(symbol >= 0, both[len(lo) :], 0)
+
+    def _symbol(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == words, at + 1, -1)
 
     def matches(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Streams texts that the index holds, all at once and from right to left. Per window of ``depth`` words, in the order of the texts and of
-        its start: the least value of a text that has the window. Matching statistics are capped at ``depth``: there the interval is widened to that of
-        one word less, so each word costs one backward step."""
+        """Streams texts, all at once and each from right to left. Per window of ``depth`` words, in the order of the texts and of its start: the least value
+        of a text of the index that has the window, ``NONE`` where none has.
+
+        Matching statistics, capped at ``depth``: the longest match from each word on. At ``depth`` words the interval is reported and widened to that of one word less. A word that
+        doesn't go in front of the match so far shortens it on the right: how much of it can follow that word is found by doubling and halving.
+        """
         length = np.diff(starts)
-        per_text = np.maximum(length - self.depth + 1, 0)
-        out_at = np.append(0, np.cumsum(per_text))
-        out = np.full(out_at[-1], np.iinfo(np.int64).max)
-        symbol = np.searchsorted(self.symbols, words) + 1
-        lanes = np.argsort(-length, kind="stable")
-        lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.n, np.int64)
-        for t in range(int(length.max(initial=0))):
-            live = int(np.searchsorted(-length[lanes], -t, "left"))  # lanes longer than t
-            lanes, lo, hi = lanes[:live], lo[:live], hi[:live]
-            lo, hi = self.step(lo, hi, symbol[starts[lanes + 1] - 1 - t])
-            if t + 1 >= self.depth:
-                out[out_at[lanes] + length[lanes] - 1 - t] = self.least[self.full_id[lo]]
-                lo, hi = self.short_from[lo], self.short_to[lo]
+        out_at = np.append(0, np.cumsum(np.maximum(length - self.depth + 1, 0)))
+        out = np.full(out_at[-1], NONE)
+        if not self.n or not len(self.symbols) or not len(out):
+            return out
+        symbol = self._symbol(words)
+        lane = np.flatnonzero(length >= self.depth)
+        begin, shift = starts[lane], out_at[lane] - starts[lane]
+        end = starts[lane + 1].copy()  # of the match, or of what is tried
+        at = end - 1  # the next word in front
+        lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
+        goal = np.full(len(lane), -1)  # trying: the word that didn't go in front
+        fits, fails, kept_lo, kept_hi = goal.copy(), goal.copy(), lo.copy(), hi.copy()
+        while len(lane):
+            new_lo, new_hi = self.step(lo, hi, symbol[at])
+            ok = new_lo < new_hi
+            trying = goal >= 0
+            lo, hi = np.where(ok, new_lo, lo), np.where(ok, new_hi, hi)
+
+            whole = np.flatnonzero(ok & ~trying & (end - at == self.depth))
+            if len(whole):
+                least = self.least[self.full.rank(lo[whole] + 1) - 1]
+                out[at[whole] + shift[whole]] = self.values[np.minimum(least, len(self.values) - 1)]
+                group = self.short.rank(lo[whole] + 1)
+                lo[whole], hi[whole] = self.short.select(group - 1), self.short.select(group)
+                end[whole] -= 1
+            stuck = np.flatnonzero(~ok & ~trying)
+            if len(stuck):
+                goal[stuck], fits[stuck], fails[stuck] = at[stuck], at[stuck], np.where(symbol[at[stuck]] < 0, at[stuck] + 1, end[stuck])
+                kept_lo[stuck], kept_hi[stuck] = 0, self.n
+            won = np.flatnonzero(ok & trying & (at == goal))
+            fits[won], kept_lo[won], kept_hi[won] = end[won], lo[won], hi[won]
+            lost = np.flatnonzero(~ok & trying)
+            fails[lost] = end[lost]
+            at = np.where(ok, at - 1, at)
+
+            turn = np.concatenate([stuck, won, lost])
+            if len(turn):
+                over = fails[turn] - fits[turn] <= 1
+                back, again = turn[over], turn[~over]
+                end[back], at[back], lo[back], hi[back] = fits[back], goal[back] - 1, kept_lo[back], kept_hi[back]
+                goal[back] = -1
+                double = goal[again] + np.maximum(1, 2 * (fits[again] - goal[again]))
+                end[again] = np.where(double < fails[again], double, (fits[again] + fails[again]) // 2)
+                at[again], lo[again], hi[again] = end[again] - 1, 0, self.n
+            live = end - begin >= self.depth
+            live |= goal >= 0
+            if not live.all():
+                begin, shift, end, at, lo, hi, goal, fits, fails, kept_lo, kept_hi, lane = (x[live] for x in (begin, shift, end, at, lo, hi, goal, fits, fails, kept_lo, kept_hi, lane))
         return out

@@ -1,7 +1,8 @@
 """Words of many documents at once, as NumPy arrays over Arrow's UTF-8 buffers.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. All separators are single ASCII bytes, so words are found on the bytes.
-Documents are taken in blocks of a few MB; a longer document is a block of its own.
+Documents are taken in blocks of a few MB; a longer document is a block of its own, whose masks and sums are made in parts of ``PART_BYTES``:
+besides its bytes, only where its words lie and their hashes are held whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = PART_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Also ASCII punctuation and control characters: words are then runs of letters, digits and all that isn't ASCII.
@@ -66,27 +67,42 @@ class Block:
 
     def words(self, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where words start and end, and for each row (and past the last) the number of its first word. ``bare``: punctuation separates words too."""
-        space = (_MARKS if bare else _SPACE)[self.buf]
-        n = len(space)
-        before = np.empty(n, bool)
-        before[1:] = space[:-1]
-        before[self.offsets[self.offsets < n]] = True
-        after = np.empty(n, bool)
-        after[:-1] = space[1:]
-        after[self.offsets[self.offsets > 0] - 1] = True
-        np.logical_not(space, out=space)
-        before &= space
-        after &= space
-        start = np.flatnonzero(before)
-        return start, np.flatnonzero(after) + 1, np.searchsorted(start, self.offsets)
+        table, n, rows = _MARKS if bare else _SPACE, len(self.buf), self.offsets
+        starts, ends, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], True
+        for a in range(0, n, PART_BYTES):
+            b = min(a + PART_BYTES, n)
+            space = table[self.buf[a : b + 1]]  # and the byte after, if there is one
+            before = np.append(last, space[: b - a - 1])
+            last = space[b - a - 1]
+            after = np.append(space[1 : b - a], space[b - a] if b < n else True)
+            x, y = np.searchsorted(rows, (a, b), "left")
+            before[rows[x:y] - a] = True
+            x, y = np.searchsorted(rows, (a, b), "right")
+            after[rows[x:y] - a - 1] = True
+            word = ~space[: b - a]
+            starts.append(np.flatnonzero(before & word) + a)
+            ends.append(np.flatnonzero(after & word) + a + 1)
+        start = np.concatenate(starts) if len(starts) > 2 else starts[-1]
+        return start, np.concatenate(ends) if len(ends) > 2 else ends[-1], np.searchsorted(start, rows)
 
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each span of bytes; ``lower``: with A-Z as a-z."""
-        up, down = _power(len(self.buf))
-        sums = np.empty(len(self.buf) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_LOWER if lower else _RAW)[self.buf] * up[: len(self.buf)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        """A 64-bit hash of each span of bytes, spans in order and apart; ``lower``: with A-Z as a-z."""
+        n, table, out = len(self.buf), _LOWER if lower else _RAW, np.zeros(len(start), np.uint64)
+        up, down = _power(min(n, PART_BYTES))
+        for a in range(0, n, PART_BYTES):
+            b = min(a + PART_BYTES, n)
+            x, y = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+            if x == y:
+                continue
+            sums = np.empty(b - a + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(table[self.buf[a:b]] * up[: b - a], out=sums[1:])
+            s, e = np.maximum(start[x:y], a) - a, np.minimum(end[x:y], b) - a
+            part = (sums[e] - sums[s]) * down[s]
+            if start[x] < a:  # the rest of a span that began in an earlier part
+                part[:1] *= np.uint64(pow(int(_BASE), a - int(start[x]), 1 << 64))
+            out[x:y] += part
+        return mix(out + (end - start).astype(np.uint64))
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -121,3 +137,21 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         out *= _BASE
         out += words[j : j + n]
     return mix(out)
+
+
+def joined_words(block: Block, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.LargeStringArray:
+    """Each row's words that ``keep`` marks, joined by one space."""
+    edge = np.zeros(len(block.buf) + 2, np.int8)
+    last = np.zeros(len(start), bool)  # the last kept word of its row: no space follows
+    kept = np.flatnonzero(keep)
+    row = np.searchsorted(first, kept, "right") - 1
+    last[kept[np.append(row[1:] != row[:-1], True)[: len(kept)]]] = True
+    stop = end[kept] + ~last[kept]
+    edge[start[kept]] += 1
+    np.add.at(edge, stop, -1)
+    mask = np.cumsum(edge[: len(block.buf)], dtype=np.int8).astype(bool)
+    data = block.buf[mask]
+    data[_SPACE[data]] = 32
+    through = np.append(0, np.cumsum(stop - start[kept]))
+    offsets = through[np.searchsorted(kept, first)]
+    return pa.LargeStringArray.from_buffers(block.n, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())

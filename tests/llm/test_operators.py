@@ -164,17 +164,42 @@ def test_substring_dedup(corpus, window, hot):
     assert rows_of(substring_dedup(docs, window, hot=hot), "doc_id", "n_words", "n_removed", "text") == substring_oracle(rows, window)
 
 
-def test_fm_index_counts():
-    from cellmosaic.llm.fm_index import FMIndex
+def test_fm_index_streams_other_texts():
+    """Matching statistics of texts that the index doesn't hold, against all pairs of windows."""
+    from cellmosaic.llm.fm_index import NONE, FMIndex
 
     g = np.random.default_rng(0)
-    texts = [g.integers(0, 3, n).astype(np.uint64) for n in (40, 7, 90, 30)]
-    index = FMIndex(np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])), np.array([5, 1, 7, 3]), 12)
-    for _ in range(200):
-        t = texts[g.integers(4)]
-        n = int(g.integers(1, 13))
-        p = t[(a := int(g.integers(0, max(1, len(t) - n)))) : a + n] if g.random() < 0.7 else g.integers(0, 4, n).astype(np.uint64)
-        assert index.count(p) == sum((t[j : j + len(p)] == p).all() for t in texts for j in range(len(t) - len(p) + 1))
+    for _ in range(40):
+        depth, letters = int(g.integers(1, 13)), int(g.integers(1, 6))
+        held, asked = ([g.integers(0, letters, g.integers(0, 60)).astype(np.uint64) for _ in range(n)] for n in (int(g.integers(0, 6)), 8))
+        asked = [np.concatenate([t, held[g.integers(len(held))], t[:5]]) if held and g.random() < 0.6 else t for t in asked]
+        asked[0] = asked[0] + np.uint64(1)  # a word that no text has
+        flat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64), np.append(0, np.cumsum([len(t) for t in x])).astype(np.int64))
+        values = g.integers(0, 99, len(held))
+        least = {}
+        for t, v in zip(held, values, strict=True):
+            for i in range(len(t) - depth + 1):
+                key = tuple(t[i : i + depth])
+                least[key] = min(int(v), least.get(key, NONE))
+        index = FMIndex(*flat(held), values, depth)
+        assert index.matches(*flat(asked)).tolist() == [least.get(tuple(t[i : i + depth]), NONE) for t in asked for i in range(len(t) - depth + 1)]
+    base = g.integers(0, 20_000, 40_000).astype(np.uint64)
+    index = FMIndex(np.tile(base, 5), np.arange(0, 200_001, 100), np.arange(2000), 50)
+    assert index.nbytes < 4 * 200_000  # bytes: repeated passages are runs
+
+
+def test_substring_dedup_of_one_repeated_word_and_of_hot_names(make, monkeypatch):
+    """Long runs of one word are few distinct segments; names too many to go out with the tasks come by a join, with the same rows."""
+    from cellmosaic.llm import substring_dedup as op
+
+    rows = [(1, "a " * 60_000, "s"), (2, "a " * 70_000 + "b", "s"), (2, "a " * 70_000 + "b", "s"), (3, "c " + "a " * 49, "s"), (4, "a " * 49 + "c", "s"), (5, "a " * 50 + "c", "s")]
+    own = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in op.substring_dedup(make(rows)).collect()}
+    assert own == {1: (60_000, 0), 2: (70_001, 70_000), 3: (50, 0), 4: (50, 0), 5: (51, 51)}
+    base = prose(90).split()
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k:]) + " " + prose(12), "s") for k in range(80)]
+    for most in (500_000, 0):
+        monkeypatch.setattr(op, "BROADCAST_NAMES", most)
+        assert rows_of(op.substring_dedup(make(rows + rows[:9]), 20, hot=3), "doc_id", "n_words", "n_removed", "text") == substring_oracle(rows + rows[:9], 20)
 
 
 def test_contamination(make, spark):
