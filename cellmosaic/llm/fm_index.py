@@ -1,8 +1,8 @@
 """A compressed, word-level FM-index: the runs of a Burrows-Wheeler transform in a wavelet matrix, for patterns of at most ``depth`` words.
 
 What is kept: the symbol of each run (a wavelet matrix), where runs start in the transform and in its sorted order (two bit vectors), where the groups
-of suffixes with equal first ``depth`` and ``depth - 1`` words start (two more), and for each of the former the number of the least value.
-Bit vectors have a 32-bit count every 64 bits and answer rank and select; no array has a number for each word.
+of suffixes with equal first ``depth`` and ``depth - 1`` words start (two more), for each of the former the number of the least value (two bytes, or four above 65,535 values), and a byte a word (two above 255): how many words a suffix has in common
+with the one before. Bit vectors have a 32-bit count every 64 bits and answer rank and select.
 
 Suffixes are sorted by their first ``depth`` words only. Intervals of shorter patterns are whole groups of that order, so
 backward search stays exact up to ``depth``, and sorting takes a few rounds of prefix doubling.
@@ -116,16 +116,21 @@ class FMIndex:
         full = _edges(groups(depth)[order])
         self.full = Bits(full)
         self.values, number = np.unique(values, return_inverse=True)
-        of_place = np.full(n, len(self.values), np.uint32)
+        of_place = np.full(n, len(self.values), np.uint16 if len(self.values) < 1 << 16 else np.uint32)
         of_place[np.arange(len(words)) + owner] = np.repeat(number, np.diff(starts))
         self.least = np.minimum.reduceat(of_place[order], np.flatnonzero(full))
         self.short = Bits(_edges(groups(depth - 1)[order]))  # from there the next backward step gives exactly ``depth`` words
+        self.common = np.zeros(n + 1, np.uint8 if depth < 256 else np.uint16)  # with the suffix before, at most ``depth``
+        padded, live = np.append(text, np.full(depth, -1)), np.arange(1, n)
+        for j in range(depth):
+            live = live[padded[order[live] + j] == padded[order[live - 1] + j]]
+            self.common[live] = j + 1
 
     @property
     def nbytes(self) -> int:
         if not self.n:
             return 0
-        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.base, self.full, self.values, self.least, self.short))
+        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.base, self.full, self.values, self.least, self.short, self.common))
 
     def _back(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The sorted order's place of the symbol's first occurrence at or after ``at`` of the transform."""
@@ -142,6 +147,21 @@ class FMIndex:
         both = self._back(np.concatenate([lo, hi]), np.concatenate([known, known]))
         return both[: len(lo)], np.where(symbol >= 0, both[len(lo) :], 0)
 
+    def _widen(self, place: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first ``depth`` words, from 0, of the suffixes at ``place``."""
+        lo, hi = np.zeros(len(place), np.int64), np.full(len(place), self.n)
+        some = np.flatnonzero(depth > 0)
+        for out, at, way in ((lo, place[some], -1), (hi, place[some] + 1, 1)):
+            lane, width = some, 16
+            while len(lane):
+                near = np.clip(at[:, None] + way * np.arange(width), 0, self.n)
+                below = self.common[near] < depth[lane][:, None]
+                found = below.any(axis=1)
+                out[lane[found]] = near[found, below[found].argmax(axis=1)]
+                lane, at = lane[~found], at[~found] + way * width
+                width = min(4 * width, 1024)
+        return lo, hi
+
     def _symbol(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
         return np.where(self.symbols[at] == words, at + 1, -1)
@@ -151,7 +171,7 @@ class FMIndex:
         of a text of the index that has the window, ``NONE`` where none has.
 
         Matching statistics, capped at ``depth``: the longest match from each word on. At ``depth`` words the interval is reported and widened to that of one word less. A word that
-        doesn't go in front of the match so far shortens it on the right: how much of it can follow that word is found by doubling and halving.
+        doesn't go in front of the match so far shortens it on the right: with how much of it that word goes is found by doubling and halving, each a widening and one step.
         """
         length = np.diff(starts)
         out_at = np.append(0, np.cumsum(np.maximum(length - self.depth + 1, 0)))
@@ -161,45 +181,48 @@ class FMIndex:
         symbol = self._symbol(words)
         lane = np.flatnonzero(length >= self.depth)
         begin, shift = starts[lane], out_at[lane] - starts[lane]
-        end = starts[lane + 1].copy()  # of the match, or of what is tried
+        end = starts[lane + 1].copy()  # of the match, whose interval is lo .. hi - 1
         at = end - 1  # the next word in front
         lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
-        goal = np.full(len(lane), -1)  # trying: the word that didn't go in front
-        fits, fails, kept_lo, kept_hi = goal.copy(), goal.copy(), lo.copy(), hi.copy()
+        tried = np.full(len(lane), -1)  # how many words of the match are tried behind that word; -1: all of them
+        goes, fails, kept_lo, kept_hi = tried.copy(), tried.copy(), lo.copy(), hi.copy()
         while len(lane):
-            new_lo, new_hi = self.step(lo, hi, symbol[at])
+            trying = tried >= 0
+            from_lo, from_hi = lo, hi
+            which = np.flatnonzero(trying)
+            if len(which):
+                from_lo, from_hi = lo.copy(), hi.copy()
+                from_lo[which], from_hi[which] = self._widen(lo[which], tried[which])
+            new_lo, new_hi = self.step(from_lo, from_hi, symbol[at])
             ok = new_lo < new_hi
-            trying = goal >= 0
-            lo, hi = np.where(ok, new_lo, lo), np.where(ok, new_hi, hi)
 
-            whole = np.flatnonzero(ok & ~trying & (end - at == self.depth))
+            on = np.flatnonzero(ok & ~trying)
+            lo[on], hi[on] = new_lo[on], new_hi[on]
+            whole = on[end[on] - at[on] == self.depth]
             if len(whole):
                 least = self.least[self.full.rank(lo[whole] + 1) - 1]
                 out[at[whole] + shift[whole]] = self.values[np.minimum(least, len(self.values) - 1)]
                 group = self.short.rank(lo[whole] + 1)
                 lo[whole], hi[whole] = self.short.select(group - 1), self.short.select(group)
                 end[whole] -= 1
-            stuck = np.flatnonzero(~ok & ~trying)
-            if len(stuck):
-                goal[stuck], fits[stuck], fails[stuck] = at[stuck], at[stuck], np.where(symbol[at[stuck]] < 0, at[stuck] + 1, end[stuck])
-                kept_lo[stuck], kept_hi[stuck] = 0, self.n
-            won = np.flatnonzero(ok & trying & (at == goal))
-            fits[won], kept_lo[won], kept_hi[won] = end[won], lo[won], hi[won]
-            lost = np.flatnonzero(~ok & trying)
-            fails[lost] = end[lost]
-            at = np.where(ok, at - 1, at)
+            at[on] -= 1
 
+            stuck, won, lost = np.flatnonzero(~ok & ~trying), np.flatnonzero(ok & trying), np.flatnonzero(~ok & trying)
+            goes[stuck], fails[stuck] = -1, np.where(symbol[at[stuck]] < 0, 0, end[stuck] - at[stuck] - 1)
+            goes[won], kept_lo[won], kept_hi[won] = tried[won], new_lo[won], new_hi[won]
+            fails[lost] = tried[lost]
             turn = np.concatenate([stuck, won, lost])
             if len(turn):
-                over = fails[turn] - fits[turn] <= 1
+                over = fails[turn] - goes[turn] <= 1
                 back, again = turn[over], turn[~over]
-                end[back], at[back], lo[back], hi[back] = fits[back], goal[back] - 1, kept_lo[back], kept_hi[back]
-                goal[back] = -1
-                double = goal[again] + np.maximum(1, 2 * (fits[again] - goal[again]))
-                end[again] = np.where(double < fails[again], double, (fits[again] + fails[again]) // 2)
-                at[again], lo[again], hi[again] = end[again] - 1, 0, self.n
-            live = end - begin >= self.depth
-            live |= goal >= 0
+                empty = goes[back] < 0
+                end[back] = at[back] + 1 + goes[back]
+                lo[back], hi[back] = np.where(empty, 0, kept_lo[back]), np.where(empty, self.n, kept_hi[back])
+                at[back] -= 1
+                tried[back] = -1
+                double = np.where(goes[again] < 0, 0, np.maximum(1, 2 * goes[again]))
+                tried[again] = np.where(double < fails[again], double, (goes[again] + fails[again]) // 2)
+            live = (end - begin >= self.depth) & (at >= begin)
             if not live.all():
-                begin, shift, end, at, lo, hi, goal, fits, fails, kept_lo, kept_hi, lane = (x[live] for x in (begin, shift, end, at, lo, hi, goal, fits, fails, kept_lo, kept_hi, lane))
+                begin, shift, end, at, lo, hi, tried, goes, fails, kept_lo, kept_hi, lane = (x[live] for x in (begin, shift, end, at, lo, hi, tried, goes, fails, kept_lo, kept_hi, lane))
         return out
