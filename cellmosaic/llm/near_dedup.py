@@ -6,11 +6,15 @@ as there are bins the bins are filled one by one, so that every coordinate is su
 sets' Jaccard similarity, concentrated around it. ``ROWS`` coordinates make a band; documents that share a band are candidates:
 at similarity 0.8, all 24 bands miss with probability 3e-6.
 
-Documents with equal sets become one node first. In each bucket of a band, every node is paired with the bucket's first document
+Documents with equal sets (equal in size and in 128 bits of hash) become one node first. In each bucket of a band, every node is paired with the bucket's first document
 only. Pairs whose sketches come near the threshold (five standard deviations below it or better) are verified on the full sets, first one pair a node, then
-those that would join different components. What is left are buckets whose nodes still lie in different components: in blocks of bounded
-size, nodes whose sketches come near across components are found, and their full sets are compared there by an inverted list; only links that join components leave a block.
-So no link between different texts is lost to the pairing, and no task writes out pairs by the square of a group.
+those that would join different components. What is left are buckets whose nodes still lie in different components. Small ones (``GROUP`` nodes, ``GRAMS`` shingles) are compared inside:
+nodes whose sketches come near across components are found, and their full sets are compared by an inverted list; only links that join components leave a block.
+
+The nodes of larger ones are dealt by their rarest shingles instead, which loses no link: of two sets that are similar enough, the first shingles of both, in one order of all
+shingles, have one in common, as many of them as the smaller set can lack (a ninth at 0.8) and as many as the larger one can (a fifth). The order is by frequency, counted in ``SLOTS`` slots, so shingles that
+half of all pages share come last and bring nobody together. So pages that are alike in a common part but not similar enough are no candidates; what remains is cut into
+cells of bounded size.
 
 Defined results: a text without words, empty or null, has 0 shingles, is linked with nothing and kept. Rows are told apart by
 their place, so repeated rows are copies of each other; a row with a null id gets the smallest id of its component, null if there is
@@ -33,7 +37,7 @@ from cellmosaic.llm.textblocks import blocks, mix, shingles
 
 ROWS, BANDS = 4, 24
 BINS = ROWS * BANDS
-GROUP = 2000
+GROUP, GRAMS, SLOTS = 2000, 2_000_000, 1 << 18
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -70,18 +74,26 @@ def sketch(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nodes(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """128 bits of hash of each set and its size."""
+    size, out = np.diff(starts).astype(np.uint64), []
+    for salt in (0, 0x5851F42D4C957F2D):
+        sums = np.append(np.uint64(0), np.cumsum(mix(values ^ np.uint64(salt))))
+        out.append(mix(sums[starts[1:]] - sums[starts[:-1]] + size))
+    flat = np.stack(out, 1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(size), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 values, starts = shingle_sets(block, k)
                 rows = sketch(values, starts)
-                sums = np.append(np.uint64(0), np.cumsum(mix(values)))
-                node = mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
                 bands = np.zeros((block.n, BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands + rows[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                cols = [batch.column(c).slice(block.first, block.n) for c in ("id", "mark")] + [pa.array(np.diff(starts)), pa.array(node)]
+                cols = [batch.column(c).slice(block.first, block.n) for c in ("id", "mark")] + [pa.array(np.diff(starts)), _nodes(values, starts)]
                 tags = np.ascontiguousarray(mix(rows).astype(np.uint8))
                 cols.append(pa.array([x.tobytes() for x in tags], pa.binary()))
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))))
@@ -95,9 +107,7 @@ def _sets(k: int):
         for batch in batches:
             for block in blocks(batch.column("text")):
                 values, starts = shingle_sets(block, k)
-                sums = np.append(np.uint64(0), np.cumsum(mix(values)))
-                node = mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([_nodes(values, starts), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))], ["node", "grams"])
 
     return run
 
@@ -116,16 +126,52 @@ def _near(least: int):
     return run
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles fall into each slot, in this task."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("grams").flatten().to_numpy().view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
+
+
+def _prefixes(often: np.ndarray, percent: int):
+    """The first shingles of each set, rarest first; ``index``: also among those that a set no larger than its partner must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            grams = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((grams, often[(grams.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)], owner))
+            rank = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+            probe = size + (-size * percent) // 100 + 1
+            index = size + (-2 * size * percent) // (100 + percent) + 1
+            at = np.flatnonzero(rank < probe[owner])
+            row = owner[at]
+            cols = [pa.array(grams[order[at]]), *(batch.column(c).take(pa.array(row)) for c in ("node", "comp")), pa.array(size[row]), pa.array(rank[at] < index[row])]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", "comp", "n", "index"])
+
+    return run
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _plausible(least: int, percent: int):
-    """Of one block of a bucket: the nodes that have a partner in another component whose size and sketch allow a link."""
+    """Of one block: the nodes that have a partner in another component whose size and sketch allow a link. In cells of ``index`` shingles the partner isn't smaller."""
 
     def run(table: pa.Table) -> pa.Table:
-        comp, odd, part, size = (table.column(c).to_numpy() for c in ("comp", "odd", "part", "n"))
-        tags = _tags(table.column("tags"))
+        odd, part, size = (table.column(c).to_numpy() for c in ("odd", "part", "n"))
+        comp, tags = _codes(table.column("comp")), _tags(table.column("tags"))
         keep = np.zeros(len(comp), bool)
         wide, thin = np.flatnonzero(part != 2), np.flatnonzero((part != 1) & odd)
         for x in thin:
-            fits = wide[(comp[wide] != comp[x]) & (np.minimum(size[wide], size[x]) * 100 >= np.maximum(size[wide], size[x]) * percent)]
+            smaller = size[wide] if part[x] == 0 else np.where(size[wide] < size[x], 0, size[wide])
+            fits = wide[(comp[wide] != comp[x]) & (np.minimum(smaller, size[x]) * 100 >= np.maximum(size[wide], size[x]) * percent)]
             fits = fits[(tags[fits] == tags[x]).sum(axis=1) >= least]
             keep[fits] = True
             keep[x] |= len(fits) > 0
@@ -135,16 +181,16 @@ def _plausible(least: int, percent: int):
 
 
 def _exact(percent: int):
-    """Of one block of a bucket: links on the full sets, one for each two components that they join."""
+    """Of one block: links on the full sets, one for each two components that they join."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, odd, part = (table.column(c).to_numpy() for c in ("node", "comp", "odd", "part"))
-        grams = table.column("grams").combine_chunks()
+        odd, part = (table.column(c).to_numpy() for c in ("odd", "part"))
+        comp, grams = _codes(table.column("comp")), table.column("grams").combine_chunks()
         at = grams.offsets.to_numpy() - grams.offsets[0].as_py()
         size = np.diff(at)
         ids = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]
         wide, thin = part != 2, np.flatnonzero((part != 1) & odd)
-        owner = np.repeat(np.arange(len(node)), size)
+        owner = np.repeat(np.arange(len(comp)), size)
         order = np.argsort(ids, kind="stable")
         order = order[wide[owner[order]]]
         post = owner[order]
@@ -156,18 +202,19 @@ def _exact(percent: int):
                 parent[c] = c = parent.get(parent[c], parent[c])
             return c
 
-        out = []
+        out: list[tuple[int, int]] = []
         for x in thin:
             own = ids[at[x] : at[x + 1]]
             n = begin[own + 1] - begin[own]
             spots = np.repeat(begin[own] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-            both = np.bincount(post[spots], minlength=len(node))
+            both = np.bincount(post[spots], minlength=len(comp))
             for y in np.flatnonzero((both * 100 >= (size + size[x] - both) * percent) & wide & (comp != comp[x])):
                 a, b = root(int(comp[x])), root(int(comp[y]))
                 if a != b:
                     parent[a] = b
-                    out.append((int(node[x]), int(node[y])))
-        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    out.append((int(x), int(y)))
+        node = table.column("node")
+        return pa.table([node.take(pa.array([r[k] for r in out], pa.int64())) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -179,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("id", "text"))
-    all_rows = written(own.mapInArrow(_sketches(k), "id long, mark long, n long, node long, tags binary, bands array<long>"), "sketches")
+    all_rows = written(own.mapInArrow(_sketches(k), "id long, mark long, n long, node binary, tags binary, bands array<long>"), "sketches")
     far = (1 << 63) - 1
     nodes = all_rows.filter("n > 0").withColumn("id", F.coalesce("id", F.lit(far)))
     first = nodes.groupBy("node").agg(F.min("id").alias("id"))
@@ -187,16 +234,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     share = percent / 100
     least = math.floor(BINS * (share - 5 * math.sqrt(share * (1 - share) / BINS)))
 
-    rows = reps.select("node", "id", F.explode("bands").alias("key"))
+    rows = reps.select("node", "id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("id", "node")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    buckets = written(rows.join(shared, "key").select("key", "node", "size", F.col("head.node").alias("b"), F.col("head.id").alias("idb")), "buckets")
+    buckets = written(rows.join(shared, "key").select("key", "node", "n", "size", F.col("head.node").alias("b"), F.col("head.id").alias("idb")), "buckets")
     tag = reps.select(F.col("node").alias("a"), F.col("tags").alias("ta"), F.col("n").alias("na"))
     other = reps.select(F.col("node").alias("b"), F.col("tags").alias("tb"), F.col("n").alias("nb"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b, ida`` whose sizes and sketches allow a link."""
         both = pairs.join(tag, "a").join(other, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return both.select("a", "b", "ida", "ta", "tb").mapInArrow(_near(least), "a long, b long, ida long")
+        return both.select("a", "b", "ida", "ta", "tb").mapInArrow(_near(least), "a binary, b binary, ida long")
 
     candidates = written(near(buckets.filter("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.first("idb").alias("ida"))), "candidates")
     sets: DataFrame | None = None
@@ -211,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # the sets of all nodes that any pair can need: those in a bucket with others and near its first, or in one of three or more
     need = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(buckets.filter("size > 2").select("node")).distinct()
     marks = need.join(reps.select("node", "mark"), "node").select("mark")
-    sets = written(own.join(marks, "mark", "left_semi").select("text").mapInArrow(_sets(k), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(own.join(marks, "mark", "left_semi").select("text").mapInArrow(_sets(k), "node binary, grams array<long>").dropDuplicates(["node"]), "sets")
 
     one = candidates.groupBy("a").agg(F.min(F.struct("ida", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
     one = written(one, "first-pairs")
@@ -234,21 +281,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             labels = components(links)
 
     # buckets of three or more whose nodes still lie in different components: ``top`` is a bucket's largest component, ``odd`` all else
-    named = buckets.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    cut = mixed.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("size") / GROUP).alias("g"), F.ceil((F.col("size") - F.col("top.c")) / GROUP).alias("h"))
-    rows = named.join(cut, "key").join(reps.select("node", "tags", "n"), "node").withColumn("odd", F.col("comp") != F.col("top"))
-    i, j = F.pmod(F.xxhash64("node"), "g"), F.pmod(F.xxhash64(F.lit(1), "node"), "h")
-    whole = F.col("g") == 1  # part 0: compared both ways; 1: as one of the block; 2: as one that the block is compared with
-    base, none = ["key", "node", "comp", "odd", "tags", "n"], F.lit(0).cast("long")
-    small = rows.filter(whole).select(*base, F.lit(0).alias("part"), none.alias("i"), none.alias("j"))
-    wide = rows.filter(~whole).select(*base, F.lit(1).alias("part"), i.alias("i"), F.explode(F.sequence(none, F.col("h") - 1)).alias("j"))
-    thin = rows.filter(~whole & F.col("odd")).select(*base, F.lit(2).alias("part"), F.explode(F.sequence(none, F.col("g") - 1)).alias("i"), j.alias("j"))
-    found = small.unionByName(wide).unionByName(thin).groupBy("key", "i", "j").applyInArrow(_plausible(least, percent), "key long, node long, comp long, odd boolean, part int, i long, j long")
+    named = buckets.filter("size > 2").select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.sum("n").alias("grams"), F.count("*").alias("comps")).filter("comps > 1")
+    mixed = written(mixed.select("key", F.col("top.comp").alias("top"), ((F.col("size") <= GROUP) & (F.col("grams") <= GRAMS)).alias("small")), "mixed-buckets")
+    tags, base, none = reps.select("node", "tags"), ["key", "node", "comp", "odd", "tags", "n"], F.lit(0).cast("long")
+    rows = named.join(mixed.filter("small"), "key").join(tags, "node").withColumn("odd", F.col("comp") != F.col("top"))
+    blocks_ = rows.select(*base, F.lit(0).alias("part"), (none - 1).alias("i"), (none - 1).alias("j"))  # part 0: compared both ways; 1: as one of the cell; 2: as one that the cell is compared with
+    crowded = mixed.filter("not small").select("key")
+    if not crowded.isEmpty():
+        often = np.zeros(SLOTS, np.int64)
+        for r in sets.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # ``SLOTS`` rows at most
+            often[r["slot"]] = r["n"]
+        own_sets = sets.join(named.join(crowded, "key", "left_semi").select("node", "comp").distinct(), "node")
+        first = written(own_sets.mapInArrow(_prefixes(often, percent), "key long, node binary, comp binary, n long, index boolean"), "prefixes")
+        parts = lambda n, grams: F.ceil(F.greatest(n / GROUP, grams / GRAMS, F.lit(1)))
+        of_index = F.when(F.col("index"), F.col("n"))
+        cells = first.groupBy("key").agg(
+            parts(F.count("*"), F.sum("n")).alias("g"), parts(F.count(of_index), F.coalesce(F.sum(of_index), none)).alias("h"), F.count(of_index).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        )
+        rows = first.join(cells.filter("m > 0 and lo < hi").select("key", "g", "h"), "key").join(tags, "node").withColumn("odd", F.lit(True))
+        i, j = F.pmod(F.xxhash64("node"), "g"), F.pmod(F.xxhash64(F.lit(1), "node"), "h")
+        wide = rows.select(*base, F.lit(1).alias("part"), i.alias("i"), F.explode(F.sequence(none, F.col("h") - 1)).alias("j"))
+        thin = rows.filter("index").select(*base, F.lit(2).alias("part"), F.explode(F.sequence(none, F.col("g") - 1)).alias("i"), j.alias("j"))
+        blocks_ = blocks_.unionByName(wide).unionByName(thin)
+    found = blocks_.groupBy("key", "i", "j").applyInArrow(_plausible(least, percent), "key long, node binary, comp binary, odd boolean, part int, i long, j long")
     left = written(found, "plausible")
     if not left.isEmpty():
-        more = written(left.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_exact(percent), "a long, b long"), "links")
+        more = written(left.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_exact(percent), "a binary, b binary"), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
