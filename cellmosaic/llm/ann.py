@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by cosine: an inverted-file index scanned with adaptive dimension sampling.
 
-Fit, on a hash sample of about ``SAMPLE`` distinct vectors: spherical k-means gives the lists, a random rotation makes every dimension alike, and
-the number of lists to probe is the least one that finds ``TARGET`` of the sample's own neighbours. Every row is indexed.
+Fit, on a hash sample of at most ``SAMPLE_BYTES``: spherical k-means in two levels, coarse cells and the lists inside them, gives about ``2 sqrt(n)`` lists, one for each ``PER_LIST`` vectors of the sample at most;
+a random rotation makes every dimension alike, and the number of lists to probe is the least one that finds ``TARGET`` of the sample's own neighbours. Every row is
+indexed: it goes to the nearest list of its ``NEAR_CELLS`` nearest cells.
 
 Scan: a list is cut into blocks of at most ``CHUNK`` vectors, and each block meets the queries that probe its list, ``QUERIES`` at a time. Rotated unit vectors lie
-in blocks of ``COLUMNS`` dimensions. After each block, the distance so far, scaled up to all dimensions, is tested against the
+in blocks of ``COLUMNS`` dimensions. After each block, the distance so far of each query and vector, scaled up to all dimensions, is tested against the
 query's k-th best: vectors that are farther beyond chance (``EPSILON``) are abandoned. Survivors are scored in double precision on the original vectors.
 
 Equal vectors are one candidate with their k + 1 smallest ids, and equal queries one query; so large groups of copies cost nothing more.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of different lengths are
-never compared. Rows with equal ids are one another's "own row"; equal rows count once. With fewer than k candidates, all are
-returned. An empty table gives an empty result. Other columns, whatever their names, are not read.
+never compared; each length has lists of its own. Rows with equal ids are one another's "own row"; equal rows count once. With fewer than k candidates, all are
+returned. Components so large or small that their squares leave the range of doubles are scaled by the largest one first. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,63 +27,130 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.shared import written
 
-SAMPLE, TARGET, CHUNK, QUERIES, COLUMNS, EPSILON = 20_000, 0.97, 4096, 1024, 16, 2.1
-_MOST_LISTS = 1024
+SAMPLE_BYTES, TARGET, CHUNK, QUERIES, COLUMNS, EPSILON = 16 << 20, 0.97, 4096, 1024, 16, 2.1
+PER_LIST, NEAR_CELLS, PAIRS = 8, 4, 1 << 18
 
 
 @dataclass
 class Fitted:
+    """Lists of the vectors of one length: ``centroids`` in the order of their cells, ``edges``: where each cell's begin. Lists are numbered from ``offset``."""
+
+    cells: np.ndarray
     centroids: np.ndarray
-    rotation: np.ndarray
+    edges: np.ndarray
     probes: int
+    offset: int = 0
+
+    def nearest_list(self, unit: np.ndarray) -> np.ndarray:
+        """Of each vector: the nearest list of its nearest cells."""
+        near = unit @ self.cells.T
+        b = min(NEAR_CELLS, near.shape[1])
+        cells = np.argpartition(-near, b - 1, axis=1)[:, :b] if b < near.shape[1] else np.tile(np.arange(b), (len(unit), 1))
+        best, score = np.zeros(len(unit), np.int64), np.full(len(unit), -np.inf)
+        who, cell = np.repeat(np.arange(len(unit)), b), cells.ravel()
+        order = np.argsort(cell, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if not len(own):
+                continue
+            lo, hi = self.edges[cell[own[0]]], self.edges[cell[own[0]] + 1]
+            if lo == hi:
+                continue
+            found = unit[who[own]] @ self.centroids[lo:hi].T
+            at = found.argmax(1)
+            value = found[np.arange(len(own)), at]
+            better = value > score[who[own]]
+            best[who[own][better]], score[who[own][better]] = lo + at[better], value[better]
+        return best
 
+    def probed(self, unit: np.ndarray) -> np.ndarray:
+        """Of each vector: the ``probes`` nearest lists."""
+        near = unit @ self.centroids.T
+        return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes] if self.probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(unit), 1))
 
-def fit(sample: np.ndarray, n_rows: int, k: int, target: float = TARGET, seed: int = 5) -> Fitted:
-    """``sample``: vectors in rows; ``n_rows``: how many the index will hold."""
-    rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    n, dim = unit.shape
-    n_lists = int(max(1, min(_MOST_LISTS, round(n_rows**0.5), n // 16)))
-    centroids = unit[rng.choice(n, n_lists, replace=False)]
-    for _ in range(8):
+
+def _in_range(v: np.ndarray) -> np.ndarray:
+    """Vectors as they are, but for those whose squares may leave the range of doubles: these over their largest component."""
+    most = np.abs(v).max(axis=1, keepdims=True)
+    return v / np.where((most > 1e-100) & (most < 1e100), 1.0, most)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = _in_range(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _means(unit: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; at most ``k`` centroids, none of them empty."""
+    centroids = unit[rng.choice(len(unit), min(k, len(unit)), replace=False)]
+    for _ in range(rounds):
         near = (unit @ centroids.T).argmax(1)
         order = np.argsort(near, kind="stable")
         found, at = np.unique(near[order], return_index=True)
-        centroids = centroids.copy()
-        centroids[found] = np.add.reduceat(unit[order], at, axis=0)
+        centroids = np.add.reduceat(unit[order], at, axis=0)
         length = np.linalg.norm(centroids, axis=1, keepdims=True)
-        centroids = np.where(length > 0, centroids / np.maximum(length, 1e-300), unit[rng.choice(n, n_lists)])
-    near = (unit @ centroids.T).argmax(1)
+        centroids = np.where(length > 0, centroids / np.maximum(length, 1e-300), unit[order[at]])
+    return centroids
+
+
+def fit(sample: np.ndarray, n_rows: int, k: int, target: float = TARGET, seed: int = 5, offset: int = 0) -> Fitted:
+    """``sample``: vectors in rows; ``n_rows``: how many the index will hold."""
+    rng = np.random.default_rng(seed)
+    unit = _unit(sample)
+    n = len(unit)
+    n_lists = int(max(1, min(round(2 * n_rows**0.5), n // PER_LIST)))
+    cells = _means(unit, max(1, round(n_lists**0.5)), rng)
+    of = (unit @ cells.T).argmax(1)
+    lists = [_means(unit[of == c], max(1, round(n_lists * (of == c).sum() / n)), rng) if (of == c).any() else unit[:0] for c in range(len(cells))]
+    model = Fitted(cells, np.concatenate(lists), np.append(0, np.cumsum([len(x) for x in lists])), len(cells), offset)
+    near = model.nearest_list(unit)
     tried = rng.choice(n, min(n, 256), replace=False)
     score = unit[tried] @ unit.T
     score[np.arange(len(tried)), tried] = -np.inf
-    best = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, :k] if n > 1 else np.zeros((1, 0), int)
-    ranks = np.argsort(np.argsort(-(unit[tried] @ centroids.T), axis=1), axis=1)
-    hit = np.sort(np.take_along_axis(ranks, near[best], axis=1).ravel())
-    probes = int(hit[min(len(hit) - 1, int(np.ceil(target * len(hit))))]) + 1 if len(hit) else n_lists
-    rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    return Fitted(centroids, rotation, probes)
+    if n > 1:
+        best = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, :k]
+        ranks = np.argsort(np.argsort(-(unit[tried] @ model.centroids.T), axis=1), axis=1)
+        hit = np.sort(np.take_along_axis(ranks, near[best], axis=1).ravel())
+        model.probes = int(hit[min(len(hit) - 1, int(np.ceil(target * len(hit))))]) + 1
+    else:
+        model.probes = len(model.centroids)
+    return model
+
 
+@lru_cache(4)
+def rotation(dim: int, seed: int = 7) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
 
-def scan(query: np.ndarray, columns: list[np.ndarray], k: int, epsilon: float = EPSILON) -> np.ndarray:
-    """The numbers of the vectors that may be among the k nearest of a rotated query; ``columns``: blocks of dimensions of all vectors."""
-    n, dim = columns[0].shape[0], len(query)
+
+def scan(queries: np.ndarray, columns: list[np.ndarray], k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a vector that may be among its k nearest, by numbers; rotated unit vectors, ``columns``: blocks of dimensions of all vectors."""
+    n, dim = columns[0].shape[0], queries.shape[1]
     if n <= 2 * k:
-        return np.arange(n)
+        return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
     first = min(n, max(64, 2 * k))
-    full = sum(((c[:first] - query[o : o + c.shape[1]]) ** 2).sum(1) for c, o in zip(columns, range(0, dim, COLUMNS), strict=True))
-    bound = np.partition(full, k - 1)[k - 1] if first > k else np.inf
-    alive, partial, seen = np.arange(n), np.zeros(n), 0
-    for c in columns:
+    head = 2 - 2 * queries @ np.concatenate([c[:first] for c in columns], axis=1).T
+    bound = np.maximum(np.partition(head, k - 1, axis=1)[:, k - 1], 0) * (1 + 1e-9) + 1e-12
+    width = columns[0].shape[1]
+    part = queries[:, :width]
+    begun = np.maximum((columns[0] ** 2).sum(1)[None, :] + (part**2).sum(1)[:, None] - 2 * part @ columns[0].T, 0)
+
+    def limit(seen: int) -> np.ndarray:
+        return bound * (1 + epsilon / np.sqrt(seen)) ** 2 * seen / dim if seen < dim else bound
+
+    q, x = np.nonzero(begun <= limit(width)[:, None])
+    so_far, seen = begun[q, x], width
+    for c in columns[1:]:
         width = c.shape[1]
-        partial = partial + ((c[alive] - query[seen : seen + width]) ** 2).sum(1)
+        so_far = so_far + ((c[x] - queries[q, seen : seen + width]) ** 2).sum(1)
         seen += width
-        limit = bound * (1 + epsilon / np.sqrt(seen)) ** 2 * seen / dim if seen < dim else bound * (1 + 1e-9) + 1e-12
-        keep = partial <= limit
-        alive, partial = alive[keep], partial[keep]
-    if len(alive) > 4 * k:
-        alive = alive[partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
-    return alive
+        keep = so_far <= limit(seen)[q]
+        q, x, so_far = q[keep], x[keep], so_far[keep]
+    order = np.lexsort((so_far, q))
+    q, x, so_far = q[order], x[order], so_far[order]
+    begin = np.searchsorted(q, np.arange(len(queries)))
+    last = np.minimum(begin + k - 1, np.append(begin[1:], len(q)) - 1)  # the k-th best, or the worst of fewer
+    most = so_far[np.maximum(last, 0)] if len(q) else np.zeros(len(queries))
+    keep = so_far <= most[q] * (1 + 1e-9) + 1e-12
+    return q[keep], x[keep]
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -89,38 +158,49 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _assign(model: Fitted, probes: int):
+def _assign(models: dict[int, Fitted], probe: bool):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _vectors(batch.column("v"))
-            near = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ model.centroids.T
-            lists = near.argmax(1)[:, None] if probes == 1 else np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(v), 1))
-            out = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * lists.shape[1]), pa.array(lists.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "lists"])
+            length = np.diff(batch.column("v").offsets.to_numpy())
+            for dim in np.unique(length).tolist():
+                part = batch.filter(pa.array(length == dim))
+                unit, model = _unit(_vectors(part.column("v"))), models[dim]
+                for a in range(0, len(unit), 4096):
+                    own = unit[a : a + 4096]
+                    lists = (model.probed(own) if probe else model.nearest_list(own)[:, None]) + model.offset
+                    at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * lists.shape[1])
+                    yield pa.RecordBatch.from_arrays([*part.slice(a, len(own)).columns, pa.ListArray.from_arrays(at, pa.array(lists.ravel().astype(np.int32)))], [*batch.schema.names, "lists"])
 
     return run
 
 
-def _block(rotation: np.ndarray, k: int):
+def _block(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         schema = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not rows.num_rows:
             return schema.empty_table()
         x, q = _vectors(rows.column("v")), _vectors(queries.column("v"))
+        x, q = _in_range(x), _in_range(q)
         nx, nq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        turned = (x / nx[:, None]) @ rotation
+        turn = rotation(x.shape[1])
+        turned, asked = (x / nx[:, None]) @ turn, (q / nq[:, None]) @ turn
         columns = [np.ascontiguousarray(turned[:, o : o + COLUMNS]) for o in range(0, x.shape[1], COLUMNS)]
-        ids = rows.column("ids").to_pylist()
+        ids = rows.column("ids").combine_chunks()
+        begin, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
         q1, q2 = queries.column("h1").to_numpy(), queries.column("h2").to_numpy()
-        out: list[tuple[int, int, int, float]] = []
-        for r, one in enumerate((q / nq[:, None]) @ rotation):
-            near = scan(one, columns, k + 1)
-            score = (x[near] * q[r]).sum(1) / (nx[near] * nq[r])
-            found = sorted((-s, i) for s, a in zip(score.tolist(), near.tolist(), strict=True) for i in ids[a])
-            out += [(q1[r], q2[r], i, -s) for s, i in found[: k + 1]]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        out, step = [], max(1, PAIRS // len(x))
+        for a in range(0, len(q), step):
+            at, near = scan(asked[a : a + step], columns, k + 1)
+            at += a
+            score = (x[near] * q[at]).sum(1) / (nx[near] * nq[at])
+            n = (begin[1:] - begin[:-1])[near]
+            at, score = np.repeat(at, n), np.repeat(score, n)
+            of = flat[np.repeat(begin[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            order = np.lexsort((of, -score, at))
+            at, score, of = at[order], score[order], of[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) <= k
+            out.append((q1[at[keep]], q2[at[keep]], of[keep], score[keep]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
@@ -131,34 +211,33 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 5, id_col: str = "vec
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     own = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(~bad & F.exists("v", lambda x: x != 0))
     own = written(own.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(3), "v")), "vectors")
-    dims = [r[0] for r in own.select(F.size("v")).distinct().collect()]
-    out = None
-    for dim in sorted(dims):
-        part = _nearest(own.filter(F.size("v") == dim), every, k)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-
-def _nearest(own: DataFrame, every: int, k: int) -> DataFrame:
     first = own.dropDuplicates(["h1", "h2", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("n") <= k + 1)
     kinds = written(first.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")), "kinds")
-    n = kinds.count()
-    share = min(1.0, SAMPLE / n)
-    sample = kinds.filter(F.pmod("h2", F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("h1", "h2").select("v").toArrow()
-    model = fit(_vectors(sample.column("v")), n, k)
-    listed = kinds.mapInArrow(_assign(model, 1), "h1 long, h2 long, v array<double>, ids array<long>, lists array<int>").withColumn("list", F.col("lists")[0]).drop("lists")
+    sizes = dict(kinds.groupBy(F.size("v")).count().collect())  # a row a vector length
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    share = min(1.0, SAMPLE_BYTES / (8 * sum(d * n for d, n in sizes.items())))
+    sample = kinds.filter(F.pmod("h2", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("h1", "h2").select("v").toArrow().column("v").combine_chunks()
+    length = np.diff(sample.offsets.to_numpy())
+    models: dict[int, Fitted] = {}
+    n_lists = 0
+    for dim, n in sorted(sizes.items()):
+        rows = sample.filter(pa.array(length == dim))
+        models[dim] = fit(_vectors(rows), n, k, offset=n_lists) if len(rows) else Fitted(np.zeros((1, dim)), np.zeros((1, dim)), np.array([0, 1]), 1, n_lists)
+        n_lists += len(models[dim].centroids)
+    listed = kinds.mapInArrow(_assign(models, False), "h1 long, h2 long, v array<double>, ids array<long>, lists array<int>").withColumn("list", F.col("lists")[0]).drop("lists")
     queries = own.filter(F.col("id") % every == 0).select("id", "h1", "h2")
     asked = kinds.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v")
-    asked = asked.mapInArrow(_assign(model, model.probes), "h1 long, h2 long, v array<double>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+    asked = asked.mapInArrow(_assign(models, True), "h1 long, h2 long, v array<double>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
     listed, asked = written(listed, "listed"), written(asked, "asked")
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("g"))
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("h"))
-    cut = F.broadcast(sizes.join(loads, "list"))  # a row a list, _MOST_LISTS at most
+    cut = F.broadcast(sizes.join(loads, "list"))  # a row a list: one for each PER_LIST vectors of the sample, at most
     span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     rows = listed.join(cut, "list").withColumn("i", F.pmod("h1", "g")).withColumn("j", span("h")).select("list", "i", "j", "v", "ids")
     asks = asked.join(cut, "list").withColumn("j", F.pmod("h1", "h")).withColumn("i", span("g")).select("list", "i", "j", "h1", "h2", "v")
     key = ["list", "i", "j"]
-    found = asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_block(model.rotation, k), "q1 long, q2 long, vec_id long, score double")
+    found = asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_block(k), "q1 long, q2 long, vec_id long, score double")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     best = best.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     told = queries.distinct().join(best, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")))
