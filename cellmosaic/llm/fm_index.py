@@ -6,6 +6,8 @@ with the one before. Bit vectors have a 32-bit count every 64 bits and answer ra
 
 Suffixes are sorted by their first ``depth`` words only. Intervals of shorter patterns are whole groups of that order, so
 backward search stays exact up to ``depth``, and sorting takes a few rounds of prefix doubling.
+
+No texts, or only empty ones, match nothing; texts of fewer than ``depth`` words have no windows, in the index and in what is streamed.
 """
 
 from __future__ import annotations
@@ -13,6 +15,12 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+#: By a byte's value and a number: the place of the one with that number.
+_IN_BYTE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _ones = [k for k in range(8) if _byte >> k & 1]
+    _IN_BYTE[_byte, : len(_ones)] = _ones
 
 
 class Bits:
@@ -21,7 +29,7 @@ class Bits:
     def __init__(self, bits: np.ndarray):
         self.n = len(bits)
         self.words = np.packbits(np.append(bits, np.zeros(64 + (-self.n) % 64, bool)), bitorder="little").view(np.uint64)
-        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)).astype(np.uint32)
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int32)).astype(np.int32)
 
     @property
     def nbytes(self) -> int:
@@ -30,22 +38,19 @@ class Bits:
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = at >> 6
-        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[at & 63])
 
     def select(self, k: np.ndarray) -> np.ndarray:
         """The place of the one with number ``k``, from 0; ``n`` where there is none."""
-        word = np.searchsorted(self.before, k, "right") - 1
-        none = k >= int(self.before[-1])
-        word = np.where(none, 0, word)
-        left = np.where(none, 0, k - self.before[word].astype(np.int64))
-        w, at = self.words[word], np.zeros(len(k), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(w & np.uint64((1 << s) - 1)).astype(np.int64)
-            up = left >= ones
-            left = np.where(up, left - ones, left)
-            w = np.where(up, w >> np.uint64(s), w)
-            at += s * up
-        return np.where(none, self.n, (word << 6) + at)
+        word = np.minimum(np.searchsorted(self.before, k, "right"), len(self.words)) - 1
+        left = k - self.before[word]
+        parts = self.words[word].view(np.uint8).reshape(-1, 8)
+        through = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int64)
+        byte = np.minimum((through <= left[:, None]).sum(axis=1), 7)
+        lane = np.arange(len(k))
+        ones = np.bitwise_count(parts[lane, byte])
+        inside = np.clip(left - through[lane, byte] + ones, 0, 7)
+        return np.where(k >= self.before[-1], self.n, (word << 6) + (byte << 3) + _IN_BYTE[parts[lane, byte], inside])
 
 
 class Wavelet:
@@ -112,6 +117,7 @@ class FMIndex:
         self.sorted_runs = Bits(sorted_starts)
         every = np.arange(len(self.symbols) + 1)
         runs_below = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=len(every)))])[:-1]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(every)))]).astype(np.uint32)  # each symbol's interval
         self.base = (runs_below - self.heads.descend(np.zeros(len(every), np.int64), every)).astype(np.int32)
         full = _edges(groups(depth)[order])
         self.full = Bits(full)
@@ -130,7 +136,7 @@ class FMIndex:
     def nbytes(self) -> int:
         if not self.n:
             return 0
-        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.base, self.full, self.values, self.least, self.short, self.common))
+        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.first, self.base, self.full, self.values, self.least, self.short, self.common))
 
     def _back(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The sorted order's place of the symbol's first occurrence at or after ``at`` of the transform."""
@@ -208,7 +214,9 @@ class FMIndex:
             at[on] -= 1
 
             stuck, won, lost = np.flatnonzero(~ok & ~trying), np.flatnonzero(ok & trying), np.flatnonzero(~ok & trying)
-            goes[stuck], fails[stuck] = -1, np.where(symbol[at[stuck]] < 0, 0, end[stuck] - at[stuck] - 1)
+            word = symbol[at[stuck]]  # that word alone, if the index has it, is where to begin
+            goes[stuck], fails[stuck] = np.where(word < 0, -1, 0), np.where(word < 0, 0, end[stuck] - at[stuck] - 1)
+            kept_lo[stuck], kept_hi[stuck] = self.first[np.maximum(word, 0)], self.first[np.maximum(word, 0) + 1]
             goes[won], kept_lo[won], kept_hi[won] = tried[won], new_lo[won], new_hi[won]
             fails[lost] = tried[lost]
             turn = np.concatenate([stuck, won, lost])
@@ -220,7 +228,7 @@ class FMIndex:
                 lo[back], hi[back] = np.where(empty, 0, kept_lo[back]), np.where(empty, self.n, kept_hi[back])
                 at[back] -= 1
                 tried[back] = -1
-                double = np.where(goes[again] < 0, 0, np.maximum(1, 2 * goes[again]))
+                double = np.maximum(1, 2 * goes[again])
                 tried[again] = np.where(double < fails[again], double, (goes[again] + fails[again]) // 2)
             live = (end - begin >= self.depth) & (at >= begin)
             if not live.all():

@@ -29,7 +29,7 @@ from cellmosaic.llm.fm_index import NONE, FMIndex
 from cellmosaic.llm.shared import written
 from cellmosaic.llm.textblocks import Block, _power, blocks, joined_words, mix, shingles
 
-SEED, HOT, SHARD_WORDS, LONGEST = 8, 2048, 500_000, 256
+SEED, HOT, SHARD_WORDS, LONGEST = 8, 2048, 2_000_000, 64
 BROADCAST_NAMES = 500_000  # hot names up to here go out with the tasks, more of them by a join
 _FAR = (1 << 63) - 1
 _SEGMENT = "name long, content long, id long, mark long, start int, n int"
