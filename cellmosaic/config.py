@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# fixed values: band names in their order, indices, periods
 BANDS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B11", "B12")
 INDICES = ("NDVI", "NDWI", "MNDWI", "NDBI", "BSI")
+PERIODS = ("2022-01-01_2023-01-01", "2023-01-01_2024-01-01")
 # fixed values: land-cover codes and the classes that they stand for; classes' names
 CODE_TO_CLASS = {10: 1, 20: 2, 30: 3, 40: 4, 50: 5, 60: 6, 70: 0, 80: 7, 90: 8, 95: 8, 100: 2}
 CLASS_NAMES = {0: "nodata", 1: "tree_cover", 2: "shrubland", 3: "grassland", 4: "cropland", 5: "built_up", 6: "bare", 7: "water", 8: "wetland"}
-PERIODS = ("2022-01-01_2023-01-01", "2023-01-01_2024-01-01")
 EARTH_RADIUS_M = 6371007.1809
 
 

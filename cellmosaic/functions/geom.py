@@ -62,6 +62,46 @@ def centroid(ring: Ring) -> tuple[float, float]:
     return x, sum((p[1] + q[1]) * c for (p, q), c in zip(pairs, cross, strict=True)) / (6 * area)
 
 
+def representative_point(rings: list[Ring]) -> tuple[float, float]:
+    """A point inside: the middle of the widest stretch on a line half-way up, or a little off it where that only touches corners."""
+    x0, y0, x1, y1 = bounds(rings)
+    for share in (0.5, 0.4871, 0.5233, 0.3719, 0.6417):
+        y = y0 + (y1 - y0) * share
+        cuts = sorted((bx - ax) / (by - ay) * (y - ay) + ax for r in rings for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True) if (ay > y) != (by > y))
+        spans = [(b - a, (a + b) / 2) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+        if spans and max(spans)[0] > 0:
+            return max(spans)[1], y
+    raise ValueError("no area")
+
+
+def union_all(polygons: list[list[Ring]]) -> list[Ring]:
+    """The rings of polygons that don't overlap, as one outline: edges that two of them share go. Over overlapping ones the even-odd rule would leave out what is covered twice."""
+    edges: dict[tuple, int] = {}
+    for rings in polygons:
+        for ring in rings:
+            for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+                if p != q:
+                    edges[p, q] = edges.get((p, q), 0) + 1
+    left = [e for e in edges if (e[1], e[0]) not in edges]
+    after: dict[tuple, list] = {}
+    for p, q in left:
+        after.setdefault(p, []).append(q)
+    out: list[Ring] = []
+    while after:
+        start = next(iter(after))
+        ring, at = [start], start
+        while at in after:
+            to = after[at].pop()
+            if not after[at]:
+                del after[at]
+            ring.append(to)
+            at = to
+            if at == start:
+                break
+        out.append(ring)
+    return out
+
+
 def polygon_wkb(ring: Ring) -> bytes:
     return struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", x, y) for x, y in ring)
 

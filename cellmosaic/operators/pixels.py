@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmosaic.functions.geom import Ring, within
+from cellmosaic.functions.mercator import to_mercator
+from cellmosaic.functions.spectral import class_of
 
 
 def block_grid(spark: SparkSession, height: int, width: int, size: int = 1024) -> DataFrame:
@@ -49,14 +53,38 @@ def cutline(pixels: DataFrame, rings: list[Ring]) -> DataFrame:
     return pixels.filter(within(F.col("lon"), F.col("lat"), rings))
 
 
-def reproject_nearest(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
-    """The value of the source pixel that holds each target pixel's centre; 0 outside. ``source``: ``r, c, value``."""
-    keyed = target.withColumn("_r", pixel_at(F.col("lat"), origin[1], step[1])).withColumn("_c", pixel_at(F.col("lon"), origin[0], step[0]))
+def snapped_grid(spark: SparkSession, box: tuple[float, float, float, float], x_deg: float, y_deg: float) -> DataFrame:
+    """``r, c, lon, lat`` of all pixels of a grid over a box (west, south, east, north) whose edges lie at multiples of the steps, as those of all other boxes do. ``gx, gy``: the pixel's place among all."""
+    west, east = math.floor(box[0] / x_deg + 1e-9), math.ceil(box[2] / x_deg - 1e-9)
+    south, north = math.floor(box[1] / y_deg + 1e-9), math.ceil(box[3] / y_deg - 1e-9)
+    cols = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(east - west - 1).cast("long")))
+    out = spark.range(north - south).select(F.col("id").alias("r"), cols.alias("c")).withColumns({"gx": F.col("c") + west, "gy": F.lit(north - 1) - F.col("r")})
+    return out.select("r", "c", "gx", "gy", ((F.col("gx") + F.lit(0.5)) * F.lit(x_deg)).alias("lon"), ((F.col("gy") + F.lit(0.5)) * F.lit(y_deg)).alias("lat"))
+
+
+def warp(source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float], box: tuple[float, float, float, float], x_deg: float, y_deg: float, nodata: int = 0, crs: str = "EPSG:3857") -> DataFrame:
+    """A band in Web Mercator metres (``r, c, value``; ``origin``: its north-west corner) on a snapped grid of degrees, bilinear. Other systems are refused."""
+    if crs != "EPSG:3857":
+        raise ValueError(f"{crs}: the source must be EPSG:3857")
+    x, y = to_mercator(F.col("lon"), F.col("lat"))
+    target = snapped_grid(source.sparkSession, box, x_deg, y_deg).withColumns({"_mx": x, "_my": y})
+    return reproject_bilinear(target, source, value, origin, step, nodata, "_mx", "_my").drop("_mx", "_my")
+
+
+def label_raster(target: DataFrame, codes: DataFrame, origin: tuple[float, float], step: tuple[float, float], code: str = "wc_code", band: str = "B04", nodata: int = 0) -> DataFrame:
+    """``target`` with ``label``: the class of the nearest land-cover code, 0 where the band has no value."""
+    near = reproject_nearest(target, codes, code, origin, step)
+    return near.withColumn("label", F.when(F.col(band) == nodata, 0).otherwise(class_of(F.col(code)))).drop(code)
+
+
+def reproject_nearest(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float], x: str = "lon", y: str = "lat") -> DataFrame:
+    """The value of the source pixel that holds each target pixel's centre (in columns ``x`` and ``y``, in the source's system); 0 outside. ``source``: ``r, c, value``."""
+    keyed = target.withColumn("_r", pixel_at(F.col(y), origin[1], step[1])).withColumn("_c", pixel_at(F.col(x), origin[0], step[0]))
     own = source.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).alias("_v"))
     return keyed.join(own, ["_r", "_c"], "left").withColumn(value, F.coalesce("_v", F.lit(0))).drop("_r", "_c", "_v")
 
 
-def reproject_bilinear(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float], nodata: int = 0) -> DataFrame:
+def reproject_bilinear(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float], nodata: int = 0, x: str = "lon", y: str = "lat") -> DataFrame:
     """Means of the four source pixels around each target centre, weighted by nearness over those with a value; rounded half up, 0 to 65,535.
 
     Each source pixel goes to the four squares of which it is a corner; a square is one row with its corners, so a target row joins once. ``source`` has a row a pixel at most.
@@ -64,8 +92,8 @@ def reproject_bilinear(target: DataFrame, source: DataFrame, value: str, origin:
     spots = F.array(*[F.struct((F.col("r") - dy).alias("_r"), (F.col("c") - dx).alias("_c"), F.lit(2 * dy + dx).alias("_k")) for dy in (0, 1) for dx in (0, 1)])
     own = source.filter(F.col(value) != nodata).select(F.explode(spots).alias("_s"), F.col(value).alias("_v")).select("_s.*", "_v")
     squares = own.groupBy("_r", "_c").agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)])
-    y, x = (F.col("lat") - F.lit(origin[1])) / F.lit(step[1]) - F.lit(0.5), (F.col("lon") - F.lit(origin[0])) / F.lit(step[0]) - F.lit(0.5)
-    keyed = target.select("*", y.alias("_y"), x.alias("_x")).withColumns({"_r": F.floor("_y").cast("long"), "_c": F.floor("_x").cast("long")})
+    at = lambda c, k: (F.col(c) - F.lit(origin[k])) / F.lit(step[k]) - F.lit(0.5)
+    keyed = target.select("*", at(y, 1).alias("_y"), at(x, 0).alias("_x")).withColumns({"_r": F.floor("_y").cast("long"), "_c": F.floor("_x").cast("long")})
     fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
     weights = [(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]
     seen = [F.when(F.col(f"_v{k}").isNotNull(), w).otherwise(F.lit(0.0)) for k, w in enumerate(weights)]

@@ -392,9 +392,13 @@ def confusion_cells(spark, d):
 _PIXEL_PRED = "CASE WHEN (r * 7919 + c * 104729) % 100 < 70 THEN label ELSE (label + 4) % 8 + 1 END"
 
 
-def _pixel_counts(spark, d):
+def _pixel_predictions(spark, d):
     pred = F.when((F.col("r") * 7919 + F.col("c") * 104729) % 100 < 70, F.col("label")).otherwise((F.col("label") + 4) % 8 + 1)
-    return metrics.confusion(fx.pixels(spark, d).filter("label > 0").withColumn("pred", pred))
+    return fx.pixels(spark, d).filter("label > 0").withColumn("pred", pred)
+
+
+def _pixel_counts(spark, d):
+    return metrics.confusion(_pixel_predictions(spark, d))
 
 
 @query(PX + f"SELECT label, {_PIXEL_PRED} AS pred, {_N} AS n FROM pxl WHERE label > 0 GROUP BY ALL")
@@ -477,6 +481,12 @@ def bootstrap_ci(spark, d):
     return spark.createDataFrame(validation.bootstrap(validation.block_confusion(_test(spark, d))))
 
 
+@query()
+def pixel_bootstrap(spark, d):
+    own = _pixel_predictions(spark, d).withColumn("block", grid.block_id(F.col("lon"), F.col("lat")))
+    return spark.createDataFrame(validation.pixel_bootstrap(own.filter(grid.is_test(F.col("block")))))
+
+
 @query()
 def rf_predict(spark, d):
     own = _dedup(spark, d).filter("label <> 0")

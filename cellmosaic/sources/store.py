@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -92,6 +94,88 @@ def register_views(spark: SparkSession, aoi: str, levels: dict[int, str]) -> lis
     return names
 
 
+def signature(spark: SparkSession, *paths: str) -> str:
+    """What tells whether sources have changed: names, lengths and times of all files below them."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(conf).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith((".", "_")):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+class Manifest:
+    """Work that is done: an append-only table of ``key, ts, info`` in JSON lines, a small file a call."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """The last row of each key."""
+        kind = "key string, ts double, info map<string, string>"
+        if not has_data(self.spark, self.path):
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).json(self.path).groupBy("key").agg(F.max(F.struct("ts", F.to_json("info"))).alias("r")).select("key", "r.ts", F.from_json("r.col2", "map<string, string>").alias("info"))
+
+    def mark(self, keys: list[str], **info) -> None:
+        made = {k: str(v) for k, v in info.items()}
+        self.spark.createDataFrame([(k, time.time(), made) for k in keys], "key string, ts double, info map<string, string>").coalesce(1).write.mode("append").json(self.path)
+
+    def done(self, **info) -> set[str]:
+        """Keys whose last row has this info."""
+        return {r["key"] for r in self.rows().collect() if all((r["info"] or {}).get(k) == str(v) for k, v in info.items())}
+
+    def pending(self, keys: list[str], **info) -> list[str]:
+        done = self.done(**info)
+        return [k for k in keys if k not in done]
+
+
+def load(spark: SparkSession, path: str):
+    """What is stored at a path, by its suffix: a table, rings, a document or a model."""
+    from pyspark.ml import PipelineModel
+
+    from cellmosaic.functions.geom import rings_from_geojson
+    from cellmosaic.sources.geopackage import read_geopackage
+
+    kinds = {
+        ".parquet": lambda: spark.read.parquet(path), ".geojson": lambda: rings_from_geojson(open(path).read()), ".gpkg": lambda: read_geopackage(path),
+        ".json": lambda: json.load(open(path)), ".model": lambda: PipelineModel.load(path),
+    }
+    suffix = os.path.splitext(path.rstrip("/"))[1]
+    if suffix not in kinds:
+        raise ValueError(f"{path}: no loader for {suffix or 'a name without suffix'}")
+    return kinds[suffix]()
+
+
+def checkpoint(spark: SparkSession, path: str, build: Callable, force: bool = False):
+    """What ``build`` gives, stored at a path by its suffix and loaded from there; built only if it isn't there or ``force`` is set. Empty tables are refused."""
+    suffix = os.path.splitext(path.rstrip("/"))[1]
+    if suffix in (".parquet", ".model"):
+        if force or not (exists(spark, path) if suffix == ".parquet" else has_data(spark, path)):
+            made = build()
+            if suffix == ".model":
+                made.write().overwrite().save(path)
+            else:
+                made.write.mode("overwrite").parquet(path)
+                if spark.read.parquet(path).isEmpty():
+                    remove(spark, path)
+                    raise ValueError(f"{path}: the build wrote nothing")
+    elif suffix == ".json":
+        if force or not os.path.exists(path):
+            write_json(path, build())
+    else:
+        raise ValueError(f"{path}: no writer for {suffix or 'a name without suffix'}")
+    return load(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_json(path: str, value: dict) -> None:
     """A small result document on the driver, whole or not at all."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
