@@ -2,10 +2,10 @@
 that hold benchmark items go, sources are mixed to their target weights, and the mix is written as token ids.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its caller writes that and reads it again for the next one. What a stage has put
-into the shared folder is removed when the next one begins, as its result is stored by then.
+into the shared folder is removed when the next one begins, as its result is stored by then; the last one's tables are removed when the next run begins, or by ``cellmosaic.llm.shared.clear``.
 
-Nulls, empty texts, repeated rows and empty tables have the results that the operators define; rows that are equal in id and text count as one
-from the second stage on, and as several copies only where the mix repeats them.
+Each stage takes nulls, empty and very long texts, repeated rows and extra columns as its operator's docstring defines, and gives an empty table for an empty one. Null texts are clean, are kept as they are
+until the mix, and have no words to be in it. Rows that are equal in id and text count as one from the second stage on, and as several copies only where the mix repeats them.
 """
 
 from __future__ import annotations
@@ -52,9 +52,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
-    kept = near_duplicates(docs, k=5, percent=80, with_mark=True).filter("kept").select("mark")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("mark"))
-    return marked.join(kept, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")
+    kept = near_duplicates(docs, k=5, percent=80, with_mark=True).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    number = F.col("doc_id").cast("long")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), number.alias("id"), F.xxhash64(number, F.coalesce("text", F.lit(""))).alias("mark"))
+    same = marked["id"].eqNullSafe(kept["kept_id"]) & (marked["mark"] == kept["kept_mark"])  # of two texts with one hash, only those of one id are taken for one
+    return marked.join(kept, same, "left_semi").dropDuplicates(["id", "mark"]).select("row.*")
 
 
 @_stage
@@ -69,9 +71,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole, and the first words of the one that a source's last pass cuts, so that each source gives its target to the word."""
     taken = mix_sources(docs, seed=SEED).taken().filter("taken > 0")
     rest = F.col("taken") % F.col("size")
-    takes = taken.groupBy("key").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"), F.collect_list(F.when(rest > 0, rest.cast("int"))).alias("rests"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.col("text")).alias("key"))
-    each = keyed.dropDuplicates(["key"]).join(takes, "key").select("row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), F.col("copies")), "rests")).alias("n"))
+    takes = taken.groupBy(F.col("id").alias("take_id"), F.col("key").alias("take_key")).agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"), F.collect_list(F.when(rest > 0, rest.cast("int"))).alias("rests"))
+    number = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), number.alias("id"), F.xxhash64(F.lit(SEED), number, F.col("text")).alias("key")).dropDuplicates(["id", "key"])
+    each = keyed.join(takes, keyed["id"].eqNullSafe(takes["take_id"]) & (keyed["key"] == takes["take_key"])).select("row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), F.col("copies")), "rests")).alias("n"))
     words = F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
     text = F.when(F.col("n").isNull(), F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("n")), ""))
     out = F.col("row").withField("text", text)
@@ -95,7 +98,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token ids", write_token_ids),
 ]
 
-#: A learnt model, sketches and a tokenizer have no SQL. ``tests/llm`` holds the operators against brute force, and of the stages only ``mix``; the other four and ``run`` have no test.
+#: A learnt model, sketches and a tokenizer have no SQL. ``tests/llm`` holds each stage and ``run`` against brute force on small tables.
 ORACLE_SQL = None
 
 
