@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings, averaged over a text's distinct words, into a linear softmax; both trained together in NumPy.
 
 A word that fills a text counts once, so that junk doesn't drown or feign a signal. A word's features are itself and its byte n-grams (``GRAMS``, with marks at both ends), hashed into ``BUCKETS`` rows of an embedding table. Misspelt and unseen
-words share n-grams with known ones, and so their vectors. Training takes at most ``rows`` labelled texts of each label, by a hash order, whole,
-on the driver. As the softmax is linear, a trained feature counts for one number only, so scoring adds up numbers of words; each worker keeps
+words share n-grams with known ones, and so their vectors. Training takes at most ``rows`` labelled texts of each label and ``most_bytes`` of text in all, by a hash order, whole,
+on the driver; a text that doesn't fit into what is left of the bytes is passed over. As the softmax is linear, a trained feature counts for one number only, so scoring adds up numbers of words; each worker keeps
 those of the words that it has met.
 
 Defined results: null and empty texts have no features and score the labels' share. Labels other than 0 and 1, null among them, teach nothing; a document labelled both ways
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.textblocks import Block, blocks, give_back, mix
 
-BUCKETS, DIM, GRAMS = 1 << 18, 8, (4, 5)
+BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 LEAST_DOCS, NEUTRAL = 5, 200  # features of fewer training texts teach nothing; every text has so many features without weight besides its own
 CACHE_WORDS = 1_500_000
 _A, _Z = 60, 62  # the marks at a word's ends
@@ -70,7 +70,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums / (counts + NEUTRAL), -500, 500)))
 
 
-def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, share: float, epochs: int = 5, batch: int = 32, rate: float = 0.6, seed: int = 11) -> Model:
+def train(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, share: float, epochs: int = 8, batch: int = 32, rate: float = 1.5, seed: int = 11) -> Model:
     """``share``: of label 1 among all texts, to which the balanced sample's odds are brought back."""
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not len(labels) or labels.min() == labels.max():
@@ -191,8 +191,8 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most ``rows`` labelled documents of each label that are not held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from at most ``rows`` labelled documents of each label, ``most_bytes`` of text in all, that are not held out. Of different texts with one id, the one with the least hash."""
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     given = given.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     counts = dict(given.groupBy("y").count().collect())
@@ -200,8 +200,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, id_col: s
     for y in (0, 1):  # each a bounded top-k by hash
         part = given.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    got = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(2 * rows).select("text", "y").toArrow()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    sizes = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("mark", F.octet_length("text").alias("bytes"))).alias("one"), F.first("y").alias("y"))
+    order = [F.xxhash64("id"), F.col("id")]
+    taken, left = [], most_bytes
+    for r in sizes.orderBy(*order).select("id", "one.mark", "one.bytes", "y").collect():  # 2 * ``rows`` at most
+        if r["bytes"] <= left:
+            taken.append((r["id"], r["mark"], r["y"]))
+            left -= r["bytes"]
+    few = docs.sparkSession.createDataFrame(taken, "id long, mark long, y int")
+    got = own.join(F.broadcast(few), ["id", "mark"]).dropDuplicates(["id"]).orderBy(*order).select("text", "y").toArrow()
     total = sum(counts.values())
     model = train(got.column("text"), got.column("y").to_numpy(), counts.get(1, 0) / total if total else 0.0)
     del got
