@@ -153,8 +153,9 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", i
         .filter(F.length("key") > 0)
         .select("id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
+    # the bounds of the ranges come from a pass over hashes that are stored: lines are split and hashed once
     found = written(
-        lines.repartitionByRange("h1", "h2", "id")
+        written(lines, "line-hashes").repartitionByRange("h1", "h2", "id")
         .sortWithinPartitions("h1", "h2", "id", "mark", "pos")
         .mapInArrow(_runs(min_docs, keep == "first"), _FOUND),
         "line-runs",
