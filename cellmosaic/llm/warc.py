@@ -125,12 +125,18 @@ def write_warc(pages: DataFrame, min_bytes: int = 1000, date: str = "2024-01-01T
     """Writes a record for each page and returns the captures. Of equal payloads of ``min_bytes`` or more, the largest id is stored."""
     spark = pages.sparkSession
     raw = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(raw).alias("digest"), F.length(raw).alias("bytes"))
-    # ids and digests alone find the groups; a group's size only enters as a count and a maximum
-    ids = written(own.filter(F.col("bytes") >= min_bytes).select("page_id", "digest"), "warc-digests")
-    most = ids.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).filter("n > 1 and refers_to is not null").drop("n")
-    again = ids.join(most, "digest").filter("page_id is null or page_id < refers_to").distinct().select(F.col("page_id").alias("again_id"), F.col("digest").alias("again"), "refers_to")
-    both = own.join(again, own["page_id"].eqNullSafe(again["again_id"]) & (own["digest"] == again["again"]), "left")
+    own = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(raw).alias("digest"), F.length(raw).alias("bytes"), F.xxhash64(raw).alias("mark")
+    )
+    # ids, digests, lengths and a second hash find the groups; a group's size only enters as a count and a maximum
+    same = ["digest", "bytes", "mark"]
+    ids = written(own.filter(F.col("bytes") >= min_bytes).select("page_id", *same), "warc-digests")
+    most = ids.groupBy(*same).agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).filter("n > 1 and refers_to is not null").drop("n")
+    again = ids.join(most, same).filter("page_id is null or page_id < refers_to").distinct().select(F.col("page_id").alias("again_id"), *[F.col(c).alias(f"again_{c}") for c in same], "refers_to")
+    equal = own["page_id"].eqNullSafe(again["again_id"])
+    for c in same:
+        equal = equal & (own[c] == again[f"again_{c}"])
+    both = own.join(again, equal, "left")
     base = new_path(spark, "warc")
     return written(both.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_writer(base, date, roll_bytes), _CAPTURE), "warc-captures")
 
