@@ -5,7 +5,8 @@ last block is shorter. The mix is a row of slots: slot ``i`` goes to the source
 sources' cumulative shares, and a source's ``k``-th slot takes its ``k``-th block, round and round. A source's slots
 past its target go, missing ones are added at the end, and its last slot is cut, so that each source gives its target to the word.
 
-Word positions come from two-level running sums (4,096 buckets a source), so no task holds a whole source.
+Word positions come from two-level running sums: a source's documents lie in buckets of their hash, about ``BUCKET_ROWS`` in each however large the source, so no task holds a whole source. A chunk of the
+schedule has ``CHUNK`` slots, so what one source has in it is bounded too.
 To the driver goes one row a source; ``max_sources`` bounds it.
 
 Defined results: a null or wordless text has size 0, is in no slot and takes 0 words. Null is a source of its own, the last one.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm.shared import written
 
-BUCKETS, CHUNK = 4096, 4096
+BUCKET_ROWS, CHUNK = 4096, 4096
 PHI = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,7 +115,7 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -127,10 +128,11 @@ def mix_sources(
         whole, rest = divmod(words, sizes[k]) if sizes[k] else (0, 0)
         blocks = -(-sizes[k] // block)
         needs.append(whole * blocks + -(-rest // block))
-        rows.append((k, r["source"], sizes[k], target[k], blocks, whole, rest))
-    sources = spark.createDataFrame(rows, "src int, name string, source_size long, target double, blocks long, whole long, rest long")
-    own = sized.join(sources.select("src", "name", "source_size", "target"), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    own = own.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKETS.bit_length() + 1))
+        bits = max(1, (r["n"] // BUCKET_ROWS).bit_length())
+        rows.append((k, r["source"], sizes[k], target[k], blocks, whole, rest, 64 - bits))
+    sources = spark.createDataFrame(rows, "src int, name string, source_size long, target double, blocks long, whole long, rest long, shift int")
+    own = sized.join(sources.select("src", "name", "source_size", "target", "shift"), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    own = own.withColumn("bucket", F.expr("shiftrightunsigned(key, shift)")).drop("shift")
     sums = own.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, 0))
