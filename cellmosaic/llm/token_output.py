@@ -237,7 +237,9 @@ def write_tokens(
     ``tokenizer``: path of a ``tokenizers`` JSON file that every executor can read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = own.withColumn("mark", F.xxhash64("text")).repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select("id", "text")
+    # equal rows have their place in the input as a third key, so that a third of all rows with one id and text still spreads over ranges
+    keyed = own.withColumns({"mark": F.xxhash64("text"), "spread": F.monotonically_increasing_id() % 4096})
+    ordered = keyed.repartitionByRange("id", "mark", "spread").sortWithinPartitions("id", "mark").select("id", "text")
     base = new_path(docs.sparkSession, "tokens")
     files = written(ordered.mapInArrow(_writer(base, tokenizer, end_id, percentile, file_tokens), "part long, seq long, file string, n_docs long, n_tokens long"), "token-files")
     # one row a file of millions of ids: sums by task first, then inside each
