@@ -2,6 +2,8 @@
 
 No edge or component ever comes to the driver; only counts do. Hot nodes cost nothing special: a node's smallest neighbour is a partial
 aggregate, and the joins have one row a node on one side, so Spark splits the other side where it is skewed.
+
+Nodes are of any type that has an order. An edge from a node to itself says nothing; repeated edges count once. Without edges there are no rows; edges have no nulls.
 """
 
 from __future__ import annotations

@@ -117,7 +117,6 @@ class FMIndex:
         self.sorted_runs = Bits(sorted_starts)
         every = np.arange(len(self.symbols) + 1)
         runs_below = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=len(every)))])[:-1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(every)))]).astype(np.uint32)  # each symbol's interval
         self.base = (runs_below - self.heads.descend(np.zeros(len(every), np.int64), every)).astype(np.int32)
         full = _edges(groups(depth)[order])
         self.full = Bits(full)
@@ -136,7 +135,7 @@ class FMIndex:
     def nbytes(self) -> int:
         if not self.n:
             return 0
-        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.first, self.base, self.full, self.values, self.least, self.short, self.common))
+        return sum(x.nbytes for x in (self.symbols, self.runs, self.heads, self.sorted_runs, self.base, self.full, self.values, self.least, self.short, self.common))
 
     def _back(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The sorted order's place of the symbol's first occurrence at or after ``at`` of the transform."""
@@ -147,6 +146,12 @@ class FMIndex:
         place = self.sorted_runs.select(np.where(inside, earlier, done))
         return np.where(inside, place + at - self.runs.select(np.maximum(k - 1, 0)), place)
 
+    def _alone(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of single symbols."""
+        both = np.concatenate([symbol, np.minimum(symbol + 1, len(self.base) - 1)])
+        place = self.sorted_runs.select(self.heads.descend(np.zeros(len(both), np.int64), both) + self.base[both])
+        return place[: len(symbol)], np.where(symbol + 1 < len(self.base), place[len(symbol) :], self.n)
+
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front; symbol -1, a word that no text has, gives empty ones."""
         known = np.maximum(symbol, 0)
@@ -216,7 +221,7 @@ class FMIndex:
             stuck, won, lost = np.flatnonzero(~ok & ~trying), np.flatnonzero(ok & trying), np.flatnonzero(~ok & trying)
             word = symbol[at[stuck]]  # that word alone, if the index has it, is where to begin
             goes[stuck], fails[stuck] = np.where(word < 0, -1, 0), np.where(word < 0, 0, end[stuck] - at[stuck] - 1)
-            kept_lo[stuck], kept_hi[stuck] = self.first[np.maximum(word, 0)], self.first[np.maximum(word, 0) + 1]
+            kept_lo[stuck], kept_hi[stuck] = self._alone(np.maximum(word, 0))
             goes[won], kept_lo[won], kept_hi[won] = tried[won], new_lo[won], new_hi[won]
             fails[lost] = tried[lost]
             turn = np.concatenate([stuck, won, lost])

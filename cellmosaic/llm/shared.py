@@ -1,7 +1,7 @@
 """The folder that the driver and all executors share, and tables written there to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-a temporary folder takes its place. Tables stay until ``clear`` removes them: a lazy result may still
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, one machine)
+a temporary folder takes its place: elsewhere each machine would have its own. Tables stay until ``clear`` removes them: a lazy result may still
 read them, so nothing here guesses when they are no longer needed.
 """
 
@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
     found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cellmosaic-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")

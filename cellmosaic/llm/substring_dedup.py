@@ -211,7 +211,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def repeated(segments: DataFrame) -> DataFrame:
         """Those whose name more than one document has."""
         names = segments.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("name")
-        return segments.join(names, "name")
+        return segments.join(written(names, "repeated-names"), "name")  # a stored table, so that Spark splits a name that very many segments have
 
     def distinct(segments: DataFrame) -> DataFrame:
         kinds = segments.groupBy("name", "content").agg(F.min(F.struct("id", "mark", "start", "n")).alias("rep"))

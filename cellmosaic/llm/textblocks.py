@@ -2,7 +2,7 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+``. All separators are single ASCII bytes, so words are found on the bytes.
 Documents are taken in blocks of a few MB; a longer document is a block of its own, whose masks and sums are made in parts of ``PART_BYTES``:
-besides its bytes, only where its words lie and their hashes are held whole.
+besides its bytes, only where its words lie and their hashes are held whole. A null text is an empty one, which has no words; an empty column gives no block.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         steps = np.full(n + 1, base, np.uint64)
         steps[0] = 1
         made.append(np.multiply.accumulate(steps, out=steps))
-    if n <= BLOCK_BYTES:  # those of a longer document aren't kept
+    if n <= BLOCK_BYTES:  # longer ones, of spans of words, aren't kept
         _powers[:] = made
     return made[0], made[1]
 
