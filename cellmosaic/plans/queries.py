@@ -142,6 +142,12 @@ def hive_scan(spark, d):
     return fx.cells(spark, d).filter(F.col("period") == PERIODS[0]).groupBy("tile").agg(F.count("*").alias("n_cells"), F.sum("n_pixels").alias("n_pixels"))
 
 
+@query(_AGG + "SELECT tile, label, cast(count(*) AS bigint) AS n_cells, cast(sum(n_pixels) AS bigint) AS n_pixels FROM ca WHERE tile IN ('T1', 'T3') GROUP BY tile, label")
+def list_scan(spark, d):
+    own = store.read_tiles(spark, store.stored_path(fx.cells(spark, d)), PERIODS[0], ["T1", "T3"])
+    return own.groupBy("tile", "label").agg(F.count("*").alias("n_cells"), F.sum("n_pixels").alias("n_pixels"))
+
+
 @query(f"WITH m AS ({_MANIFEST}) SELECT *, concat(period, '/', tile, '/', band, '.tif') AS path FROM ({_PARSED})")
 def manifest_parse(spark, d):
     return manifest.parse_manifest(_manifest(spark, d))

@@ -59,6 +59,16 @@ def read_cells(spark: SparkSession, path: str, period: str | None = None) -> Dat
     return df.filter(F.col("period") == period) if period else df
 
 
+def read_tiles(spark: SparkSession, path: str, period: str, tiles: list[str]) -> DataFrame:
+    """The cells of some tiles, from a list of their folders alone: no other one is listed."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/period={period}/tile={t}" for t in tiles])
+
+
+def stored_path(df: DataFrame) -> str:
+    """The folder that a stored table was read from."""
+    return df.inputFiles()[0].split("/period=")[0].rsplit("/part-", 1)[0]
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work that isn't done yet."""
     return wanted.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic import pipeline
 from cellmosaic.config import BANDS, Config
-from cellmosaic.operators import benchmark, validation
+from cellmosaic.operators import benchmark, figures, validation
 from cellmosaic.sources import geotiff, store
 
 STEP = 0.0005
@@ -104,3 +104,18 @@ def test_only_changed_tiles_are_built_again(spark, project, monkeypatch):
     spark.catalog.refreshByPath(project.pixels())
     again = {r["tile"]: r["n_pixels"] for r in pipeline.build_cells(spark, project, 14).groupBy("tile").agg(F.sum("n_pixels").alias("n_pixels")).collect()}
     assert written == [["T1"]] and again["T0"] == n["T0"] and 0 < again["T1"] < n["T1"]
+
+
+def test_rows_behind_figures(spark, project):
+    pixels = spark.read.parquet(project.pixels())
+    shares = figures.class_shares(pixels, "tile").groupBy("tile").agg(F.sum("share").alias("s"), F.count("*").alias("n")).collect()
+    assert all(r["s"] == pytest.approx(1) and r["n"] == 3 for r in shares) and len(shares) == 2
+    assert sum(r["share"] for r in figures.class_shares(pixels).collect()) == pytest.approx(1)
+    assert figures.preview(pixels.filter("tile = 'T0'"), 160, 200, 50).agg(F.count("*"), F.max("r"), F.max("c")).first()[:] == (40 * 50, 39, 49)
+    prints = spark.createDataFrame([("T1", 0.0, 0.0, 1.0, 1.0), ("T0", 5.0, 5.0, 6.0, 6.0)], "tile string, minx double, miny double, maxx double, maxy double")
+    assert [(r["tile"], r["meets"]) for r in figures.study_area(prints, [[(0.5, 0.5), (2.0, 0.5), (2.0, 2.0), (0.5, 0.5)]]).collect()] == [("T0", False), ("T1", True)]
+    cells_ = pipeline.build_cells(spark, project, 15).select("cell_id", "label", "lon", "lat").distinct()
+    paired = cells_.withColumns({"pred_a5": F.col("label"), "pred_a5_transfer": F.col("label"), "pred_raster": F.lit(1)})
+    drawn = figures.maps(paired, (-0.25, 51.5, -0.2, 51.53), 15)
+    assert 0 < drawn.count() < cells_.count() and drawn.first()["outline"].startswith("POLYGON")
+    assert {r["arm"]: r["f1"] for r in figures.f1_by_class(paired).filter("name = 'shrubland'").collect()} == {"pred_a5": 1.0, "pred_a5_transfer": 1.0, "pred_raster": 0.0}
