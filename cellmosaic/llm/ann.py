@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cellmosaic.llm.shared import written
 
 SAMPLE_BYTES, TARGET, CHUNK, QUERIES, COLUMNS, EPSILON = 16 << 20, 0.97, 4096, 1024, 16, 2.1
-PER_LIST, NEAR_CELLS, PAIRS = 8, 4, 1 << 18
+PER_LIST, NEAR_CELLS, PAIRS, DENSE = 8, 4, 1 << 18, 0.08
 
 
 @dataclass
@@ -129,16 +129,21 @@ def scan(queries: np.ndarray, columns: list[np.ndarray], k: int, epsilon: float
     first = min(n, max(64, 2 * k))
     head = 2 - 2 * queries @ np.concatenate([c[:first] for c in columns], axis=1).T
     bound = np.maximum(np.partition(head, k - 1, axis=1)[:, k - 1], 0) * (1 + 1e-9) + 1e-12
-    width = columns[0].shape[1]
-    part = queries[:, :width]
-    begun = np.maximum((columns[0] ** 2).sum(1)[None, :] + (part**2).sum(1)[:, None] - 2 * part @ columns[0].T, 0)
 
     def limit(seen: int) -> np.ndarray:
         return bound * (1 + epsilon / np.sqrt(seen)) ** 2 * seen / dim if seen < dim else bound
 
-    q, x = np.nonzero(begun <= limit(width)[:, None])
-    so_far, seen = begun[q, x], width
-    for c in columns[1:]:
+    # while many pairs are left, a block of dimensions is one matrix product over all of them; then only those that are left are taken
+    whole, alive, seen, at = np.zeros((len(queries), n)), np.ones((len(queries), n), bool), 0, 0
+    while at < len(columns) and (not at or alive.mean() > DENSE):
+        c = columns[at]
+        part = queries[:, seen : seen + c.shape[1]]
+        whole += (c**2).sum(1)[None, :] + (part**2).sum(1)[:, None] - 2 * part @ c.T
+        seen, at = seen + c.shape[1], at + 1
+        alive &= whole <= limit(seen)[:, None]
+    q, x = np.nonzero(alive)
+    so_far = np.maximum(whole[q, x], 0)
+    for c in columns[at:]:
         width = c.shape[1]
         so_far = so_far + ((c[x] - queries[q, seen : seen + width]) ** 2).sum(1)
         seen += width
