@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     crowded = mixed.filter("not small").select("key")
     if not crowded.isEmpty():
         often = np.zeros(SLOTS, np.int64)
-        for r in sets.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # ``SLOTS`` rows at most
-            often[r["slot"]] = r["n"]
+        counted = sets.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # ``SLOTS`` rows at most
+        often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
         own_sets = sets.join(named.join(crowded, "key", "left_semi").select("node", "comp").distinct(), "node")
         first = written(own_sets.mapInArrow(_prefixes(often, percent), "key long, node binary, comp binary, n long, index boolean"), "prefixes")
         parts = lambda n, grams: F.ceil(F.greatest(n / GROUP, grams / GRAMS, F.lit(1)))
