@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
+FEW_EDGES = 64
 
 
 def rings_from_wkt(wkt: str) -> list[Ring]:
@@ -113,15 +114,19 @@ def within_box(lon: Column, lat: Column, box: tuple[float, float, float, float])
 def within(lon: Column, lat: Column, rings: list[Ring]) -> Column:
     """Even-odd test by a ray to the east. The box comes first, as a range that scans can prune by.
 
-    Edges are part of the expression: for some hundred of them; simplify larger outlines first.
+    Up to ``FEW_EDGES`` edges are terms of the expression, in generated code; those of a longer outline are one literal array that is gone through, so that the plan doesn't grow with it.
     """
-    crossing = []
-    for ring in rings:
-        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
-            if y0 != y1:
-                side = (F.lit(y0) > lat) != (F.lit(y1) > lat)
-                crossing.append(F.when(side & (lon < F.lit((x1 - x0) / (y1 - y0)) * (lat - F.lit(y0)) + F.lit(x0)), 1).otherwise(0))
-    total = reduce(lambda a, b: a + b, crossing, F.lit(0))
+    edges = [(y0, y1, (x1 - x0) / (y1 - y0), x0) for ring in rings for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True) if y0 != y1]
+
+    def crosses(y0: Column, y1: Column, slope: Column, x0: Column) -> Column:
+        return F.when(((y0 > lat) != (y1 > lat)) & (lon < slope * (lat - y0) + x0), 1).otherwise(0)
+
+    if len(edges) <= FEW_EDGES:
+        total = reduce(lambda a, b: a + b, [crosses(*map(F.lit, e)) for e in edges], F.lit(0))
+    else:
+        text = json.dumps([dict(zip(("y0", "y1", "slope", "x0"), e, strict=True)) for e in edges])
+        literal = F.from_json(F.lit(text), "array<struct<y0: double, y1: double, slope: double, x0: double>>")
+        total = F.aggregate(literal, F.lit(0), lambda n, e: n + crosses(e["y0"], e["y1"], e["slope"], e["x0"]))
     return within_box(lon, lat, bounds(rings)) & (total % 2 == 1)
 
 

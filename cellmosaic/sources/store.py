@@ -80,6 +80,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small document in any store that Spark writes to, whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    where, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(part, where):
+        raise OSError(f"{path}: not written")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """Whether a path holds any file or partition that was committed. Replacing partitions one by one leaves no mark of success."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -151,8 +168,8 @@ def load(spark: SparkSession, path: str):
     from cellmosaic.sources.geopackage import read_geopackage
 
     kinds = {
-        ".parquet": lambda: spark.read.parquet(path), ".geojson": lambda: rings_from_geojson(open(path).read()), ".gpkg": lambda: read_geopackage(path),
-        ".json": lambda: json.load(open(path)), ".model": lambda: PipelineModel.load(path),
+        ".parquet": lambda: spark.read.parquet(path), ".geojson": lambda: rings_from_geojson(get_text(spark, path)), ".gpkg": lambda: read_geopackage(path),
+        ".json": lambda: json.loads(get_text(spark, path)), ".model": lambda: PipelineModel.load(path),
     }
     suffix = os.path.splitext(path.rstrip("/"))[1]
     if suffix not in kinds:
@@ -174,8 +191,8 @@ def checkpoint(spark: SparkSession, path: str, build: Callable, force: bool = Fa
                     remove(spark, path)
                     raise ValueError(f"{path}: the build wrote nothing")
     elif suffix == ".json":
-        if force or not os.path.exists(path):
-            write_json(path, build())
+        if force or not has_data(spark, path):
+            put_text(spark, path, json.dumps(build(), indent=2, default=str))
     else:
         raise ValueError(f"{path}: no writer for {suffix or 'a name without suffix'}")
     return load(spark, path)

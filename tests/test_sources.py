@@ -162,6 +162,18 @@ def test_boxes_meet_like_the_test_on_the_driver(spark):
     assert [r["meets"] for r in got] == [geom.box_meets(tuple(r)[:4], u) for r in got] and len({r["meets"] for r in got}) == 2
 
 
+def test_points_in_a_long_outline(spark):
+    """More edges than the expression holds, against the test on the driver."""
+    angle = np.linspace(0, 2 * np.pi, 500, endpoint=False)
+    away = 1 + 0.3 * np.sin(7 * angle)
+    star = [[(float(a), float(b)) for a, b in zip(away * np.cos(angle), away * np.sin(angle), strict=True)]]
+    g = np.random.default_rng(2)
+    points = [(float(x), float(y)) for x, y in g.random((500, 2)) * 3 - 1.5]
+    df = spark.createDataFrame(points, "x double, y double").select("x", "y", geom.within(F.col("x"), F.col("y"), star).alias("within"))
+    assert len(star[0]) > geom.FEW_EDGES and len(df._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert [r["within"] for r in df.collect()] == [geom.inside(p, star) for p in points]
+
+
 def test_store(spark, tmp_path):
     base = f"file://{tmp_path}"
     done = store.Manifest(spark, f"{base}/done")
